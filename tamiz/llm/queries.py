@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import source_host
-from tamiz.llm import capping
+from tamiz.llm import capping, line_blocks
 from tamiz.session import read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -22,8 +22,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.rows_beyond_caps(noticias, "pos", "calidad", kinds)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``cuerpo`` that occur in at least ten records of their source."""
+    noticias = read_table(spark, sf_dir, "noticias").select("pos", "cuerpo", "fuente", "url")
+    found, _ = line_blocks.repeated_lines(noticias, "pos", "cuerpo", source_host(F.col("fuente"), F.col("url")))
+    return found
+
+
+def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many repeated blocks of each length there are, and in how many documents the most repeated one."""
+    noticias = read_table(spark, sf_dir, "noticias").select("pos", "cuerpo", "fuente", "url")
+    _, blocks = line_blocks.repeated_lines(noticias, "pos", "cuerpo", source_host(F.col("fuente"), F.col("url")))
+    return blocks.groupBy("n_lines").agg(F.count("*").alias("bloques"), F.max("docs").alias("documentos_max"))
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``cuerpo`` without the repeated lines of its source."""
+    noticias = read_table(spark, sf_dir, "noticias").select("pos", "cuerpo", "fuente", "url")
+    found, _ = line_blocks.repeated_lines(noticias, "pos", "cuerpo", source_host(F.col("fuente"), F.col("url")))
+    return line_blocks.without_lines(noticias.select("pos", "cuerpo"), "pos", "cuerpo", found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_blocks": p7_blocks,
+    "p7_cleaned": p7_cleaned,
 }
 
 _HOST = r"regexp_extract(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
@@ -42,4 +66,13 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT pos FROM ranked
         WHERE (src IS NOT NULL AND rs > greatest(1, floor({SOURCE_SHARE} * n)))
            OR (aut IS NOT NULL AND ra > greatest(1, floor({AUTHOR_SHARE} * n)))""",
+    "p7_found": f"""
+        WITH docs AS (SELECT pos, {_SOURCE} AS src, string_split(cuerpo, chr(10)) AS ls FROM noticias WHERE cuerpo <> ''),
+        raw AS (SELECT pos, src, unnest(ls) AS l, generate_subscripts(ls, 1) AS linea FROM docs),
+        folded AS (
+            SELECT pos, src, CAST(linea AS INTEGER) AS linea,
+                   trim(regexp_replace(regexp_replace(lower(l), '\\p{{Nd}}+', '0', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS l
+            FROM raw),
+        often AS (SELECT src, l FROM folded WHERE l <> '' GROUP BY src, l HAVING count(DISTINCT pos) >= 10)
+        SELECT DISTINCT f.pos, f.linea FROM folded f JOIN often o ON f.src IS NOT DISTINCT FROM o.src AND f.l = o.l""",
 }
