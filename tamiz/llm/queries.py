@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.functions.urls import source_host
-from tamiz.llm import capping, line_blocks
-from tamiz.session import read_table
+from tamiz.functions.urls import host_of, source_host
+from tamiz.llm import capping, line_blocks, page_content
+from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
 
 
+def _with_site(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, frozenset[str]]:
+    """``noticias`` with the name of each record's site, and the names of all sites (the fixed table of sources)."""
+    fuentes = read_table(spark, sf_dir, "fuentes").select(host_of(F.col("base_url")).alias("_host"), F.col("nombre").alias("_site"))
+    names = frozenset(" ".join(r[0].lower().split()) for r in fuentes.select("_site").where("_site IS NOT NULL").distinct().limit(10_000).collect())
+    noticias = read_table(spark, sf_dir, "noticias").select(*columns, source_host(F.col("fuente"), F.col("url")).alias("_host"))
+    return noticias.join(broadcast_if_small(fuentes.dropDuplicates(["_host"])), "_host", "left"), names
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``cuerpo`` (and line 0, the title) that hold page furniture."""
+    noticias, names = _with_site(spark, sf_dir, "pos", "cuerpo", "titulo")
+    lines = page_content.furniture_lines(F.col("cuerpo"), F.col("titulo"), F.col("_site"), names)
+    return noticias.select("pos", F.explode(lines).alias("linea")).distinct()
+
+
+def p2_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page: its own lines, in order."""
+    noticias, _ = _with_site(spark, sf_dir, "pos", "cuerpo")
+    return noticias.select("pos", page_content.article_text(F.col("cuerpo")).alias("articulo"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records beyond the cap of their source or of their author."""
     noticias = read_table(spark, sf_dir, "noticias").select("pos", "calidad", "autor", "fuente", "url")
@@ -44,6 +65,8 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_article": p2_article,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
