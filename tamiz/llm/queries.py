@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, line_blocks, page_content
+from tamiz.llm import capping, line_blocks, page_content, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -43,6 +43,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.rows_beyond_caps(noticias, "pos", "calidad", kinds)
 
 
+def _cut_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = source_host(F.col("fuente"), F.col("url")).alias("src")
+    news = read_table(spark, sf_dir, "noticias").select(F.lit("noticias").alias("tabla"), F.col("pos").alias("id"), source, F.col("cuerpo").alias("text"))
+    pages = read_table(spark, sf_dir, "noticias_paginadas").select(F.lit("noticias_paginadas").alias("tabla"), F.col("fila").alias("id"), source, F.col("resumen").alias("text"))
+    return truncation.cut_texts(news.unionByName(pages))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of either table whose text was cut off inside a sentence."""
+    return _cut_verdicts(spark, sf_dir).where("cortado").select("tabla", "id").distinct()
+
+
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source of either table the share of its records that is cut."""
+    return truncation.share_by_source(_cut_verdicts(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``cuerpo`` that occur in at least ten records of their source."""
     noticias = read_table(spark, sf_dir, "noticias").select("pos", "cuerpo", "fuente", "url")
@@ -68,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_article": p2_article,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_sources": p6_sources,
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
     "p7_cleaned": p7_cleaned,
