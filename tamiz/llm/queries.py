@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, line_blocks, page_content, truncation
+from tamiz.llm import capping, leakage, line_blocks, page_content, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -81,6 +81,23 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.without_lines(noticias.select("pos", "cuerpo"), "pos", "cuerpo", found)
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
+    return leakage.leaked_items(documents, "doc_id", "text", items, "item_id", "texto", "pregunta")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of a test item, with the item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked test item with the number of its documents and the longest passage."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("documentos"), F.max("palabras").alias("palabras_max"), F.round(F.avg("pregunta"), 6).alias("pregunta_media")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_article": p2_article,
@@ -90,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
     "p7_cleaned": p7_cleaned,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
 }
 
 _HOST = r"regexp_extract(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
