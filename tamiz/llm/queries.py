@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, leakage, line_blocks, page_content, truncation
+from tamiz.llm import capping, leakage, line_blocks, long_repeats, page_content, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -98,6 +98,25 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a common span of at least 300 characters."""
+    return long_repeats.repeated_pairs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of each document that occur in others, as [inicio, fin) in characters."""
+    spans = long_repeats.shared_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return spans.withColumnRenamed("doc", "doc_id")
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the share of its characters that occurs elsewhere in a long span."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("caracteres"))
+    covered = p10_spans(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("fin") - F.col("inicio")).alias("repetidos"))
+    joined = documents.join(covered, "doc_id", "left").withColumn("repetidos", F.coalesce("repetidos", F.lit(0)))
+    return joined.withColumn("proporcion", F.round(F.coalesce(F.try_divide("repetidos", "caracteres"), F.lit(0.0)), 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_article": p2_article,
@@ -109,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_cleaned": p7_cleaned,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_spans": p10_spans,
+    "p10_share": p10_share,
 }
 
 _HOST = r"regexp_extract(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
