@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, leakage, line_blocks, long_repeats, page_content, truncation
+from tamiz.llm import capping, leakage, line_blocks, long_repeats, packing, page_content, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -81,6 +81,22 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.without_lines(noticias.select("pos", "cuerpo"), "pos", "cuerpo", found)
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each container of 2,048 tokens with its pieces and the space left."""
+    return packing.containers(p8_placement(spark, sf_dir))
+
+
+def p8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every text."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of containers, the space left in all, and the least number that the tokens could need."""
+    filled = p8_containers(spark, sf_dir).agg(F.count("*").alias("contenedores"), F.sum("tokens").alias("tokens"), F.sum("libre").alias("libre"))
+    return filled.withColumn("minimo", F.ceil(F.col("tokens") / packing.CAPACITY))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")
     return leakage.leaked_items(documents, "doc_id", "text", items, "item_id", "texto", "pregunta")
@@ -126,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_blocks": p7_blocks,
     "p7_cleaned": p7_cleaned,
+    "p8_containers": p8_containers,
+    "p8_placement": p8_placement,
+    "p8_summary": p8_summary,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
