@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, leakage, line_blocks, long_repeats, packing, page_content, truncation
+from tamiz.llm import capping, leakage, line_blocks, long_repeats, names, packing, page_content, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -35,6 +35,19 @@ def p2_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noticias.select("pos", page_content.article_text(F.col("cuerpo")).alias("articulo"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings in ``autor`` that name the same person or agency."""
+    return names.name_pairs(read_table(spark, sf_dir, "noticias"), "autor")
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity with the number of its spellings and records and its most used spelling."""
+    noticias = read_table(spark, sf_dir, "noticias")
+    used = noticias.groupBy(F.col("autor").alias("valor")).agg(F.count("*").alias("n"))
+    joined = names.name_clusters(noticias, "autor").join(used, "valor")
+    return joined.groupBy("entidad").agg(F.count("*").alias("formas"), F.sum("n").alias("registros"), F.max_by("valor", F.struct("n", "valor")).alias("nombre"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records beyond the cap of their source or of their author."""
     noticias = read_table(spark, sf_dir, "noticias").select("pos", "calidad", "autor", "fuente", "url")
@@ -136,6 +149,8 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_article": p2_article,
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_sources": p6_sources,
