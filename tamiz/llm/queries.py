@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.urls import host_of, source_host
-from tamiz.llm import capping, leakage, line_blocks, long_repeats, names, packing, page_content, truncation
+from tamiz.llm import capping, leakage, line_blocks, long_repeats, names, packing, page_content, subjects, truncation
 from tamiz.session import broadcast_if_small, read_table
 
 SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
@@ -22,6 +22,22 @@ def _with_site(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFra
     return noticias.join(broadcast_if_small(fuentes.dropDuplicates(["_host"])), "_host", "left"), names
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = [r[0] for r in read_table(spark, sf_dir, "materias").select("materia").distinct().orderBy("materia").limit(1_000).collect()]
+    noticias, seeds = read_table(spark, sf_dir, "noticias"), read_table(spark, sf_dir, "etiquetas")
+    return subjects.document_subjects(noticias.select("pos", "cuerpo"), "pos", "cuerpo", seeds, "pos", "materia", areas)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject that a quarter or more of a record's article treats."""
+    return _subjects(spark, sf_dir).select("pos", "materia").distinct()
+
+
+def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the corpus each subject makes up."""
+    return subjects.corpus_composition(_subjects(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``cuerpo`` (and line 0, the title) that hold page furniture."""
     noticias, names = _with_site(spark, sf_dir, "pos", "cuerpo", "titulo")
@@ -147,6 +163,8 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_composition": p1_composition,
     "p2_found": p2_found,
     "p2_article": p2_article,
     "p3_found": p3_found,
