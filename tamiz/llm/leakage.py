@@ -13,7 +13,7 @@ is reported beside the overlap with its text.
 
 Words are maximal runs of letters and digits of the canonical decomposition
 without combining marks, in lower case. Defined results: null and empty texts
-hold no passage; items of fewer than ``MIN_WORDS`` words cannot be found; a
+and documents without identifier hold no passage; items of fewer than ``MIN_WORDS`` words cannot be found; a
 document with several copies of an item counts once, equal items each count;
 texts of any length are read in full.
 """
@@ -258,4 +258,4 @@ def leaked_items(documents: DataFrame, ident: str, text: str, items: DataFrame,
             ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "palabras", "pregunta"])
 
-    return documents.select(ident, text).where(f"length({text}) > 0").mapInPandas(search, "doc_id long, item_id long, palabras int, pregunta double")
+    return documents.select(ident, text).where(f"length({text}) > 0 AND {ident} IS NOT NULL").mapInPandas(search, "doc_id long, item_id long, palabras int, pregunta double")

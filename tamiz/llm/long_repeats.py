@@ -19,7 +19,7 @@ shared by more than ``COLD`` documents (a legal notice, say) is divided by what
 stands around it on a grid of left and right extents, so that only documents
 that agree on nearly the whole length are ever paired; no pair is lost by it.
 
-Defined results: null texts and texts shorter than the length asked for share
+Defined results: null texts, texts without identifier and texts shorter than the length asked for share
 nothing; a repeat inside one document is none; lengths are in code points.
 """
 
@@ -289,7 +289,7 @@ def verified_pairs(rows: DataFrame, min_chars: int) -> DataFrame:
 
 def equal_texts(documents: DataFrame, ident: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(one document a class as (doc, text), members as (doc, member)); texts shorter than ``min_chars`` are left out."""
-    long = documents.where(F.length(text) >= min_chars).select(F.col(ident).alias("member"), F.col(text).alias("text"))
+    long = documents.where((F.length(text) >= min_chars) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("member"), F.col(text).alias("text"))
     keyed = long.select("member", F.xxhash64("text").alias("_h"), F.xxhash64(F.reverse("text"), F.length("text")).alias("_g"))
     heads = keyed.groupBy("_h", "_g").agg(F.min("member").alias("doc"), F.count("*").alias("_n"))
     several = heads.where("_n > 1").select("_h", "_g", "doc")

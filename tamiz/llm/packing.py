@@ -10,7 +10,7 @@ within their length, ranks being counted over salted ranges of each length.
 
 A text is split only if it alone exceeds the capacity: into full containers and
 one remainder. Defined results: null and empty texts have no tokens and need no
-container; equal texts are placed one by one; ties go by identifier.
+container; texts without identifier are left out; equal texts are placed one by one; ties go by identifier.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def token_counts(df: DataFrame, ident: str, text: str, vocabulary: str = VOCABUL
             sizes = [len(encoder.encode_ordinary(x)) if x else 0 for x in frame[text]]
             yield pd.DataFrame({ident: frame[ident], "tokens": np.array(sizes, dtype=np.int64)})
 
-    return df.select(ident, text).mapInPandas(count, f"{ident} long, tokens long")
+    return df.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias(ident), text).mapInPandas(count, f"{ident} long, tokens long")
 
 
 def fullest(room: int, counts: dict[int, int]) -> list[tuple[int, int]]:
