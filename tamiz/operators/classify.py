@@ -18,8 +18,8 @@ def candidates(seed: int = 42) -> dict:
     """The estimators that selection compares."""
     return {
         "NaiveBayes": NaiveBayes(smoothing=0.1),
-        "SVM": OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), parallelism=4),
-        "LogisticRegression": LogisticRegression(maxIter=50, regParam=0.001),
+        "SVM": OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), parallelism=8),
+        "LogisticRegression": LogisticRegression(maxIter=20, regParam=0.001),
         "RandomForest": RandomForestClassifier(numTrees=100, seed=seed),
     }
 
@@ -39,11 +39,13 @@ def _prepared(df: DataFrame, text: str) -> DataFrame:
 
 def train(df: DataFrame, text: str = "texto", label: str = "etiqueta", estimator=None, n_features: int = FEATURES) -> tuple[PipelineModel, list[str]]:
     """(model, labels in index order). At least two labels are needed; rows without text or label are left out."""
-    rows = _prepared(df.where((F.trim(text) != "") & F.col(label).isNotNull()), text)
+    # Cached: every pass of an iterative estimator reads the same prepared rows.
+    rows = _prepared(df.where((F.trim(text) != "") & F.col(label).isNotNull()), text).persist()
     if rows.select(label).distinct().limit(2).count() < 2:
         raise ValueError("at least two labels are needed")
     indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
     model = Pipeline(stages=[indexer, *_stages(n_features), estimator or candidates()["SVM"]]).fit(rows)
+    rows.unpersist()
     return model, list(model.stages[0].labels)
 
 
@@ -63,7 +65,7 @@ def folds(df: DataFrame, label: str, k: int, ident: str) -> DataFrame:
     return df.withColumn("pliegue", (F.row_number().over(order) - 1) % k)
 
 
-def select_model(df: DataFrame, ident: str, text: str = "texto", label: str = "etiqueta", k: int = 5, models: dict | None = None) -> DataFrame:
+def select_model(df: DataFrame, ident: str, text: str = "texto", label: str = "etiqueta", k: int = 5, models: dict | None = None, n_features: int = FEATURES) -> DataFrame:
     """(modelo, media, desviacion, pliegues): accuracy of each estimator over stratified folds, best mean first.
 
     The folds are no more than the smallest label has texts; fewer than two are
@@ -77,7 +79,7 @@ def select_model(df: DataFrame, ident: str, text: str = "texto", label: str = "e
     rows = []
     for name, estimator in (models or candidates()).items():
         for fold_number in range(k):
-            model, labels = train(cut.where(F.col("pliegue") != fold_number), text, label, estimator)
+            model, labels = train(cut.where(F.col("pliegue") != fold_number), text, label, estimator, n_features)
             right = predict(model, labels, cut.where(F.col("pliegue") == fold_number), text).agg(F.avg((F.col("prediccion") == F.col(label)).cast("double"))).first()[0]
             rows.append((name, float(right or 0.0)))
     cut.unpersist()

@@ -157,7 +157,7 @@ def shape_violations(triples: DataFrame, shape: dict[str, str] = SHAPE) -> DataF
 
 def datatype_violations(triples: DataFrame) -> DataFrame:
     """(recurso, propiedad, valor): dates and URLs whose literal does not have the form of its type."""
-    date = (F.col("p") == DC + "date") & F.try_to_date("o", F.lit("yyyy-MM-dd")).isNull()
+    date = (F.col("p") == DC + "date") & F.try_to_date("o", "yyyy-MM-dd").isNull()
     url = (F.col("p") == ONTOLOGY + "urlOriginal") & ~F.col("o").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]+$")
     return triples.where(date | url).select(F.col("s").alias("recurso"), F.col("p").alias("propiedad"), F.col("o").alias("valor"))
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.queries import records, text, time
+from tamiz.queries import knowledge, learned, records, retrieval, text, time, web
 
-_MODULES = (text, records, time)
+_MODULES = (text, records, retrieval, knowledge, web, learned, time)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

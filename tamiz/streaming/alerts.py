@@ -61,5 +61,5 @@ def topic_memory(turns: DataFrame, session: str = "sesion", text: str = "texto")
         yield pd.DataFrame({session: [key[0]], "turnos": [seen], "tema": [max(counter, key=counter.get) if counter else None]})
 
     return raised.groupBy(session).applyInPandasWithState(
-        update, f"{session} string, turnos long, tema string", "nombres array<string>, cuentas array<long>, turnos long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        update, f"{session} string, turnos long, tema string", "nombres array<string>, cuentas array<long>, turnos long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
