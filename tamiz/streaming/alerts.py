@@ -40,15 +40,13 @@ def windowed_counts(events: DataFrame, event_time: str, key: str, width: str = "
 def topic_memory(turns: DataFrame, session: str = "sesion", text: str = "texto") -> DataFrame:
     """(sesion, turnos, tema): after each batch, the turns of a session so far and its most raised topic.
 
-    State of a session is its counter of topics; it is let go after an hour
-    without a turn.
+    State of a session is its counter of topics, kept for the life of the
+    checkpoint, without a timeout: a pending one would keep a stream that is to
+    process what is available from ever ending.
     """
     raised = turns.select(session, topics(F.col(text)).alias("temas"))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         names, counts, seen = state.get if state.exists else ([], [], 0)
         counter = dict(zip(list(names), list(counts), strict=True))
         for frame in frames:
@@ -57,9 +55,8 @@ def topic_memory(turns: DataFrame, session: str = "sesion", text: str = "texto")
                 for name in found:
                     counter[name] = counter.get(name, 0) + 1
         state.update((list(counter), list(counter.values()), seen))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({session: [key[0]], "turnos": [seen], "tema": [max(counter, key=counter.get) if counter else None]})
 
     return raised.groupBy(session).applyInPandasWithState(
-        update, f"{session} string, turnos long, tema string", "nombres array<string>, cuentas array<long>, turnos long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        update, f"{session} string, turnos long, tema string", "nombres array<string>, cuentas array<long>, turnos long", "append", GroupStateTimeout.NoTimeout
     )
