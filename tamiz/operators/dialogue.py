@@ -100,3 +100,40 @@ def running_topic(turns: DataFrame, session: str, order: str, text: str) -> Data
 def session_stats(turns: DataFrame, session: str, text: str) -> DataFrame:
     """(session, tipo, n): turns of each intent."""
     return turns.groupBy(session, intent(F.col(text), lexicons.DIALOGUE_INTENTS).alias("tipo")).agg(F.count("*").alias("n"))
+
+
+def dialogue_turns(turns: DataFrame, session: str, order: str, text: str) -> DataFrame:
+    """(session, order, tipo, consulta, tema): how each turn is to be answered, given those before it.
+
+    A blank turn is a ``fallback`` and is not remembered; a structured intent
+    comes before all else; a reference back, once something was said, is
+    ``contextual`` and asked together with the question before it; other
+    searches are ``personalizada`` with their own topic, or the one most raised
+    so far, and ``directa`` without any. Sessions are folded in order, one group
+    each; a session is a conversation and bounded.
+    """
+    read = turns.select(session, order, F.coalesce(text, F.lit("")).alias("_q"), intent(F.col(text), lexicons.DIALOGUE_INTENTS).alias("_i"), refers_back(F.col(text)).alias("_r"), topics(F.col(text)).alias("_t"))
+
+    def fold_session(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        counts: dict[str, int] = {}
+        last: str | None = None
+        out = []
+        for question, kind, back, found in zip(frame["_q"], frame["_i"], frame["_r"], frame["_t"], strict=True):
+            asked, topic = question, None
+            if not question.strip():
+                out.append(("fallback", question, None))
+                continue
+            if kind == "busqueda" and back and last is not None:
+                kind, asked = "contextual", f"{last} {question}"
+            elif kind == "busqueda":
+                topic = found[0] if len(found) else max(counts, key=counts.get) if counts else None
+                kind = "personalizada" if topic else "directa"
+            for name in found:
+                counts[name] = counts.get(name, 0) + 1
+            last = question
+            out.append((kind, asked, topic))
+        return frame[[session, order]].assign(tipo=[x[0] for x in out], consulta=[x[1] for x in out], tema=[x[2] for x in out])
+
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
+    return read.groupBy(session).applyInPandas(fold_session, f"{session} {kinds[session]}, {order} {kinds[order]}, tipo string, consulta string, tema string")

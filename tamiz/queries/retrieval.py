@@ -84,6 +84,11 @@ def running_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.running_topic(_questions(spark, sf_dir), "sesion", "turno", "pregunta")
 
 
+def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each question of a session is to be answered, given those before it."""
+    return dialogue.dialogue_turns(_questions(spark, sf_dir), "sesion", "turno", "pregunta")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("sentimiento", F.when(F.col("doc_id") % 2 == 0, "positivo"))
 
@@ -109,7 +114,7 @@ def item_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ir_measures, ir_averages, ir_winners, ir_generated_queries, question_intents, question_topics, question_filters, previous_turn, session_stats, running_topic,
+        ir_measures, ir_averages, ir_winners, ir_generated_queries, question_intents, question_topics, question_filters, previous_turn, session_stats, running_topic, dialogue_turns,
         question_pairs, question_answer, category_answer, item_topics,
     )
 }

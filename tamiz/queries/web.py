@@ -12,7 +12,7 @@ from tamiz.functions.urls import host_of, source_host
 from tamiz.operators import nlp
 from tamiz.queries.base import HOST, SOURCE, documents, news
 from tamiz.session import read_table
-from tamiz.sources import catalogue, feeds, html
+from tamiz.sources import catalogue, feeds, html, robots
 
 
 def _escaped(column: Column) -> Column:
@@ -70,6 +70,12 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("pos", host_of(F.col("url")).alias("host"), source_host(F.col("fuente"), F.col("url")).alias("origen"))
 
 
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that robots files allow: every second host keeps its culture pages closed, the last host has no file."""
+    hosts = read_table(spark, sf_dir, "fuentes").select(host_of(F.col("base_url")).alias("host"), F.when(F.col("pais") == "México", "User-agent: *\nDisallow: /cultura").when(F.col("pais") != "Chile", "User-agent: *\nAllow: /").alias("texto"))
+    return robots.with_permission(news(spark, sf_dir).select("pos", "url"), hosts).select("pos", "permitida")
+
+
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs reached from a listing page: a crawl's budget is its feature."""
     pages = read_table(spark, sf_dir, "noticias_paginadas").where("pagina_origen IS NOT NULL AND url IS NOT NULL")
@@ -130,7 +136,7 @@ def last_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        html_extract, html_errors, dom_profile, feed_articles, url_scope, url_section, url_hosts, crawl_frontier, catalogue_validation, catalogue_custom,
+        html_extract, html_errors, dom_profile, feed_articles, url_scope, url_section, url_hosts, robots_gate, crawl_frontier, catalogue_validation, catalogue_custom,
         csv_flatten, corpus_rows, normalised_articles, labelled_texts, thread_messages, collapsed_titles, answer_averages, last_stage,
     )
 }
@@ -156,6 +162,8 @@ ORACLES = {
     "url_section": f"""WITH s AS (SELECT pos, string_split({_LOW_PATH}, '/') AS seg FROM noticias), m AS (SELECT MAP {{{_SECTION_MAP}}} AS m)
         SELECT pos, coalesce(list_filter(list_transform(seg, lambda x: m[trim(x)]), lambda c: c IS NOT NULL)[1], '') AS categoria FROM s, m""",
     "url_hosts": f"SELECT pos, nullif({HOST.format('url')}, '') AS host, {SOURCE} AS origen FROM noticias",
+    "robots_gate": f"""WITH h AS (SELECT {SOURCE.replace('fuente', 'base_url')} AS host, pais FROM (SELECT base_url, base_url AS url, pais FROM fuentes)), n AS (SELECT pos, {HOST.format('url')} AS host, {_PATH} AS ruta FROM noticias)
+        SELECT pos, coalesce(CASE WHEN pais = 'México' THEN NOT starts_with(ruta, '/cultura') WHEN pais <> 'Chile' THEN true ELSE false END, false) AS permitida FROM n LEFT JOIN h USING (host)""",
     "catalogue_validation": """WITH f AS (SELECT *, CASE WHEN pais <> 'Chile' THEN limite_noticias END AS lim FROM fuentes)
         SELECT id, array_to_string(list_filter([CASE WHEN coalesce(tipo, '') NOT IN ('rss', 'html') THEN 'tipo debe ser ''rss'' o ''html''' END, CASE WHEN coalesce(len(urls), 0) = 0 THEN 'urls debe ser una lista no vacia' WHEN len(list_filter(urls, lambda u: NOT regexp_matches(u, '^https?://'))) > 0 THEN 'todas las urls deben ser http(s)' END,
         CASE WHEN coalesce(len(dominios_permitidos), 0) = 0 THEN 'dominios_permitidos debe ser una lista no vacia' END, CASE WHEN coalesce(lim, 0) <= 0 THEN 'limite_noticias debe ser un entero positivo' END, CASE WHEN coalesce(delay_segundos, -1) < 0 THEN 'delay_segundos debe ser numerico y no negativo' END], lambda e: e IS NOT NULL), '; ') AS errores FROM f""",
