@@ -51,7 +51,7 @@ NICKNAMES = {
 # What stands before a name without being part of it.
 BEFORE = {
     "por", "by", "texto", "firma", "fotos", "foto", "escribe", "redacta", "dr", "dra", "lic", "licda", "mtro", "mtra", "ing", "prof", "profa", "arq", "abg",
-    "don", "dona", "sr", "sra", "srta", "d",
+    "don", "dona", "sr", "sra", "srta",
 }
 # Bylines that name no one.
 PLACEHOLDERS = {
@@ -186,7 +186,8 @@ def read_name(value: str, given: frozenset[str]) -> tuple[str, list[str]] | None
         tokens, inverted = rest[:1] + family, True
     else:
         tokens, inverted = _tokens(text)[lead:], False
-    tokens = [t for t in tokens if t.rstrip(".") not in _SMALL]
+    # With its full stop such a word is an initial.
+    tokens = [t for t in tokens if t not in _SMALL]
     if not inverted and len(tokens) == 1:
         only = tokens[0].rstrip(".")
         return ("agency", ["", only]) if value.strip().isupper() and 4 <= len(only) <= 8 else None

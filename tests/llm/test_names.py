@@ -11,6 +11,9 @@ def test_reading():
         assert read_name(value, GIVEN) == ("person", ["jose", "polchi", "durria"]), value
     assert read_name("Polchi, J.", GIVEN) == ("person", ["j", "polchi", ""])
     assert read_name("José Polchi D.", GIVEN) == ("person", ["jose", "polchi", "d"])
+    for letter in "DEYQ":
+        assert read_name(f"{letter}. Polchi Durria", GIVEN) == ("person", [letter.lower(), "polchi", "durria"])
+    assert read_name("José Polchi Y.", GIVEN) == ("person", ["jose", "polchi", "y"])
     assert read_name("Ag. Not. Alta Sur", GIVEN) == ("agency", ["alta", "sur"])
     for value in ["Redacción", "N/D", " ", "José Polchi Durria y Ana Tor Bel", "José Polchi Durria / Ana Tor Bel", "José Polchi Durria, Ana Tor Bel", "staff"]:
         assert read_name(value, GIVEN) is None, value
