@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,26 +74,27 @@ def previous_turn(turns: DataFrame, session: str, order: str, text: str) -> Data
     return turns.withColumn("consulta", F.when(refers_back(F.col(text)) & before.isNotNull(), expanded).otherwise(F.col(text)))
 
 
-def running_topic(turns: DataFrame, session: str, order: str, text: str) -> DataFrame:
-    """(session, order, tema_dominante): topic most often raised so far, ties to the one raised first.
+def _raised_so_far(frame, topic_array: Column, order: str) -> Column:
+    """The topic raised most often within a window frame, ties to the one raised first; null before any.
 
-    State of a session is a counter a topic: sessions are folded one by one in
-    their own order, by grouped Pandas; a session is a conversation and bounded.
+    The topics are a fixed short list, so their counters are running sums of one
+    window, and no session is ever gathered into memory.
     """
-    raised = turns.select(session, order, topics(F.col(text)).alias("temas"))
+    entries = []
+    for position, (name, _) in enumerate(lexicons.DIALOGUE_TOPICS):
+        raised = F.array_contains(topic_array, name)
+        count = F.coalesce(F.sum(raised.cast("int")).over(frame), F.lit(0))
+        first = F.min(F.when(raised, F.col(order))).over(frame)
+        entries.append(F.struct((-count).alias("n"), first.alias("first"), F.lit(position).alias("k"), F.lit(name).alias("name")))
+    best = F.try_element_at(F.array_sort(F.filter(F.array(*entries), lambda e: e["n"] < 0)), F.lit(1))
+    return best["name"]
 
-    def fold_session(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        counts: dict[str, int] = {}
-        out = []
-        for found in frame["temas"]:
-            for name in found:
-                counts[name] = counts.get(name, 0) + 1
-            out.append(max(counts, key=counts.get) if counts else None)
-        return frame[[session, order]].assign(tema_dominante=out)
 
-    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
-    return raised.groupBy(session).applyInPandas(fold_session, f"{session} {kinds[session]}, {order} {kinds[order]}, tema_dominante string")
+def running_topic(turns: DataFrame, session: str, order: str, text: str) -> DataFrame:
+    """(session, order, tema_dominante): topic most often raised so far, ties to the one raised first."""
+    frame = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    raised = turns.select(session, order, topics(F.col(text)).alias("_t"))
+    return raised.select(session, order, _raised_so_far(frame, F.col("_t"), order).alias("tema_dominante"))
 
 
 def session_stats(turns: DataFrame, session: str, text: str) -> DataFrame:
@@ -109,31 +109,17 @@ def dialogue_turns(turns: DataFrame, session: str, order: str, text: str) -> Dat
     comes before all else; a reference back, once something was said, is
     ``contextual`` and asked together with the question before it; other
     searches are ``personalizada`` with their own topic, or the one most raised
-    so far, and ``directa`` without any. Sessions are folded in order, one group
-    each; a session is a conversation and bounded.
+    so far, and ``directa`` without any. All of it is running windows of a
+    session.
     """
-    read = turns.select(session, order, F.coalesce(text, F.lit("")).alias("_q"), intent(F.col(text), lexicons.DIALOGUE_INTENTS).alias("_i"), refers_back(F.col(text)).alias("_r"), topics(F.col(text)).alias("_t"))
-
-    def fold_session(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        counts: dict[str, int] = {}
-        last: str | None = None
-        out = []
-        for question, kind, back, found in zip(frame["_q"], frame["_i"], frame["_r"], frame["_t"], strict=True):
-            asked, topic = question, None
-            if not question.strip():
-                out.append(("fallback", question, None))
-                continue
-            if kind == "busqueda" and back and last is not None:
-                kind, asked = "contextual", f"{last} {question}"
-            elif kind == "busqueda":
-                topic = found[0] if len(found) else max(counts, key=counts.get) if counts else None
-                kind = "personalizada" if topic else "directa"
-            for name in found:
-                counts[name] = counts.get(name, 0) + 1
-            last = question
-            out.append((kind, asked, topic))
-        return frame[[session, order]].assign(tipo=[x[0] for x in out], consulta=[x[1] for x in out], tema=[x[2] for x in out])
-
-    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
-    return read.groupBy(session).applyInPandas(fold_session, f"{session} {kinds[session]}, {order} {kinds[order]}, tipo string, consulta string, tema string")
+    question = F.coalesce(F.col(text), F.lit(""))
+    blank = F.trim(question) == ""
+    read = turns.select(session, order, question.alias("_q"), blank.alias("_blank"), intent(F.col(text), lexicons.DIALOGUE_INTENTS).alias("_i"), refers_back(F.col(text)).alias("_r"), F.when(~blank, topics(F.col(text))).otherwise(F.array().cast("array<string>")).alias("_t"))
+    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    read = read.withColumn("_last", F.last(F.when(~F.col("_blank"), F.col("_q")), True).over(before)).withColumn("_most", _raised_so_far(before, F.col("_t"), order))
+    searched = F.col("_i") == "busqueda"
+    topic = F.coalesce(F.try_element_at("_t", F.lit(1)), F.col("_most"))
+    back = searched & F.col("_r") & F.col("_last").isNotNull()
+    kind = F.when(F.col("_blank"), "fallback").when(~searched, F.col("_i")).when(back, "contextual").when(topic.isNotNull(), "personalizada").otherwise("directa")
+    asked = F.when(~F.col("_blank") & back, F.concat_ws(" ", "_last", "_q")).otherwise(F.col("_q"))
+    return read.select(session, order, kind.alias("tipo"), asked.alias("consulta"), F.when(kind == "personalizada", topic).alias("tema"))

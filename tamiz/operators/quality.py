@@ -43,9 +43,11 @@ def validated(df: DataFrame, order: str = "pos") -> DataFrame:
     url = F.lower(F.trim("url"))
     title = collapse(F.lower(F.trim("titulo")))
     clean = F.size("motivos") == 0
-    first_url = F.row_number().over(Window.partitionBy(clean, url).orderBy(order)) == 1
+    # Records out of the contest are partitioned by their number: a common missing key gathers nothing.
+    first_url = F.row_number().over(Window.partitionBy(F.when(clean, url), F.when(~clean, F.col(order))).orderBy(order)) == 1
     judged = judged.withColumn("_first_url", clean & first_url)
-    first_title = F.row_number().over(Window.partitionBy("_first_url", title).orderBy(order)) == 1
+    competes = F.col("_first_url")
+    first_title = F.row_number().over(Window.partitionBy(F.when(competes, title), F.when(~competes, F.col(order))).orderBy(order)) == 1
     judged = judged.withColumn("_first_title", F.col("_first_url") & first_title)
     extra = F.when(clean & ~F.col("_first_url"), F.array(F.concat(F.lit("Registro duplicado exacto (URL repetida): '"), url, F.lit("'")))).when(
         F.col("_first_url") & ~F.col("_first_title"), F.array(F.concat(F.lit("Registro duplicado por título normalizado: '"), title, F.lit("'")))
@@ -72,5 +74,6 @@ def report(judged: DataFrame) -> DataFrame:
 def first_by_key(df: DataFrame, key, order: str = "pos") -> DataFrame:
     """The first row of each key in ``order``; rows of an empty or null key all stay."""
     value = F.coalesce(key, F.lit(""))
-    numbered = df.withColumn("_key", value).withColumn("_first", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
+    keyed = df.withColumn("_key", value)
+    numbered = keyed.withColumn("_first", F.row_number().over(Window.partitionBy("_key", F.when(F.col("_key") == "", F.col(order))).orderBy(order)))
     return numbered.where("_key = '' OR _first = 1").drop("_key", "_first")

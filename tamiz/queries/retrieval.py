@@ -81,12 +81,12 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.running_topic(_questions(spark, sf_dir), "sesion", "turno", "pregunta")
+    return dialogue.running_topic(_questions(spark, sf_dir), "sesion", "turno", "pregunta").na.fill("", ["tema_dominante"])
 
 
 def dialogue_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each question of a session is to be answered, given those before it."""
-    return dialogue.dialogue_turns(_questions(spark, sf_dir), "sesion", "turno", "pregunta")
+    return dialogue.dialogue_turns(_questions(spark, sf_dir), "sesion", "turno", "pregunta").na.fill("", ["tema"])
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +142,16 @@ _ASKING = """qs AS (SELECT coalesce(nullif(trim(autor), ''), '@desconocido') AS
     fq AS (SELECT *, strip_accents(lower(coalesce(pregunta, ''))) AS p FROM qs)"""
 _BACK = rf"(list_has_any(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+'), {sql_list([w for w in lexicons.REFERENCES if ' ' not in w])}) OR " + " OR ".join(f"contains(p, '{w}')" for w in lexicons.REFERENCES if " " in w) + ")"
 _TOPICS = ", ".join(rf"CASE WHEN list_has_any(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+'), {sql_list(ws)}) THEN '{name}' END" for name, ws in lexicons.DIALOGUE_TOPICS)
+
+
+def _most_raised(frame: str) -> str:
+    """The topic raised most within a window frame, ties to the first one raised."""
+    rows = ", ".join(f"{{'n': -coalesce(sum(CAST(list_contains(tt, '{name}') AS INTEGER)) OVER {frame}, 0), 'f': min(CASE WHEN list_contains(tt, '{name}') THEN turno END) OVER {frame}, 'k': {k}, 't': '{name}'}}" for k, (name, _) in enumerate(lexicons.DIALOGUE_TOPICS))
+    return f"list_sort(list_filter([{rows}], lambda e: e.n < 0))[1].t"
+
+
+_RAISED = f"{_ASKING}, ra AS (SELECT *, trim(coalesce(pregunta, '')) = '' AS blank, CASE WHEN trim(coalesce(pregunta, '')) = '' THEN CAST([] AS VARCHAR[]) ELSE list_filter([{_TOPICS}], lambda t: t IS NOT NULL) END AS tt FROM fq)"
+_BEFORE = "(PARTITION BY sesion ORDER BY turno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _FILTER_CATEGORY = " ".join(f"WHEN contains(t, '{w}') THEN '{c}'" for w, c in lexicons.FILTER_CATEGORY)
 
 ORACLES = {
@@ -164,4 +174,9 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'sentimiento', 'sentimiento opinion tono ' || s || ' ' || coalesce(titulo, ''), 'El tono de esa noticia es ' || s || ': ' || coalesce(titulo, '') FROM a""",
     "category_answer": f"WITH {DOCS} SELECT categoria, count(*) AS total, arg_min(titulo, doc_id) AS ejemplo FROM docs GROUP BY 1",
     "item_topics": f"WITH x AS (SELECT conjunto, tarea, strip_accents(lower(coalesce(pregunta, ''))) AS p FROM eval_items) SELECT conjunto, tarea, {_intent_sql('p', lexicons.QUESTION_INTENTS)} AS intencion, count(*) AS n FROM x GROUP BY 1, 2, 3",
+    "running_topic": f"WITH {_RAISED} SELECT sesion, turno, coalesce({_most_raised('(PARTITION BY sesion ORDER BY turno ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')}, '') AS tema_dominante FROM ra",
+    "dialogue_turns": f"""WITH {_RAISED}, b AS (SELECT *, {_intent_sql('p', lexicons.DIALOGUE_INTENTS)} AS i, {_BACK} AS r, last_value(CASE WHEN NOT blank THEN coalesce(pregunta, '') END IGNORE NULLS) OVER {_BEFORE} AS la, {_most_raised(_BEFORE)} AS mo FROM ra),
+        t AS (SELECT *, coalesce(tt[1], mo) AS top, i = 'busqueda' AND r AND la IS NOT NULL AS bk FROM b),
+        k AS (SELECT *, CASE WHEN blank THEN 'fallback' WHEN i <> 'busqueda' THEN i WHEN bk THEN 'contextual' WHEN top IS NOT NULL THEN 'personalizada' ELSE 'directa' END AS tipo FROM t)
+        SELECT sesion, turno, tipo, CASE WHEN NOT blank AND bk THEN la || ' ' || pregunta ELSE coalesce(pregunta, '') END AS consulta, CASE WHEN tipo = 'personalizada' THEN top ELSE '' END AS tema FROM k""",
 }
