@@ -43,6 +43,8 @@ WINDOW = 4
 KEY_CHARS = 128
 #: Documents of one name that are compared each with each.
 COLD = 24
+#: Shared anchors up to which they are broadcast to the texts; more are joined by a shuffle.
+PLACES_BROADCAST = 200_000
 #: Step of the grid of extents by which a name of more documents is divided.
 GRID = 12
 
@@ -206,7 +208,7 @@ def _with_context(shared: DataFrame, docs: DataFrame, min_chars: int) -> DataFra
     """Add what stands left and right of each shared anchor, as far as a repeat through it could need."""
     reach = min_chars - KEY_CHARS
     places = shared.groupBy("doc").agg(F.collect_list(F.struct("name", "at", "docs")).alias("places"))
-    small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = shared.limit(PLACES_BROADCAST + 1).count() <= PLACES_BROADCAST
     joined = docs.join(F.broadcast(places) if small else places, "doc")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
