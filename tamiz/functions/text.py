@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ _PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuuncyy"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an outer expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; combining marks of decomposed letters are dropped too."""
     return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"\p{M}+", "")

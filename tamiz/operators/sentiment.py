@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import lexicons
-from tamiz.functions.text import WORD
+from tamiz.functions.text import WORD, let
 
 
 def _array(words: list[str]) -> Column:
@@ -23,9 +23,13 @@ def lexicon_score(text: Column, positive: list[str] = lexicons.POSITIVE, negativ
 def occurrence_score(text: Column, positive: list[str] = lexicons.THREAD_POSITIVE, negative: list[str] = lexicons.THREAD_NEGATIVE) -> Column:
     """The same over all occurrences, rounded to four places."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    good = F.size(F.filter(tokens, lambda t: F.array_contains(_array(positive), t)))
-    bad = F.size(F.filter(tokens, lambda t: F.array_contains(_array(negative), t)))
-    return F.when(good + bad > 0, F.round((good - bad) / (good + bad), 4)).otherwise(0.0)
+
+    def occurrences(found: Column, listed: list[str]) -> Column:
+        # The few listed words of a text are found by hash; only they are then counted.
+        return let(F.array_intersect(found, _array(listed)), lambda few: F.when(F.size(few) > 0, F.size(F.filter(found, lambda t: F.array_contains(few, t)))).otherwise(0))
+
+    both = let(tokens, lambda found: F.struct(occurrences(found, positive).alias("good"), occurrences(found, negative).alias("bad")))
+    return let(both, lambda x: F.when(x["good"] + x["bad"] > 0, F.round((x["good"] - x["bad"]) / (x["good"] + x["bad"]), 4)).otherwise(0.0))
 
 
 def label(score: Column) -> Column:

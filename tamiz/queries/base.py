@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.session import read_table
+from tamiz.session import read_table, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (doc_id, titulo, cuerpo, categoria, fuente): the first line is the title."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return docs.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("titulo"), F.col("text").alias("cuerpo"), F.coalesce("lang", F.lit("sin_categoria")).alias("categoria"), F.col("source").alias("fuente"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "noticias")
+    return spread(read_table(spark, sf_dir, "noticias"))
 
 
 #: The document projection for DuckDB, as a common table expression named ``docs``.
