@@ -10,6 +10,7 @@ from tamiz.functions import lexicons
 from tamiz.functions.text import collapse
 from tamiz.functions.urls import host_of, source_host
 from tamiz.operators import nlp
+from tamiz.queries import text as text_queries
 from tamiz.queries.base import HOST, SOURCE, documents, news
 from tamiz.session import read_table
 from tamiz.sources import catalogue, feeds, html, robots
@@ -168,6 +169,7 @@ ORACLES = {
         SELECT id, array_to_string(list_filter([CASE WHEN coalesce(tipo, '') NOT IN ('rss', 'html') THEN 'tipo debe ser ''rss'' o ''html''' END, CASE WHEN coalesce(len(urls), 0) = 0 THEN 'urls debe ser una lista no vacia' WHEN len(list_filter(urls, lambda u: NOT regexp_matches(u, '^https?://'))) > 0 THEN 'todas las urls deben ser http(s)' END,
         CASE WHEN coalesce(len(dominios_permitidos), 0) = 0 THEN 'dominios_permitidos debe ser una lista no vacia' END, CASE WHEN coalesce(lim, 0) <= 0 THEN 'limite_noticias debe ser un entero positivo' END, CASE WHEN coalesce(delay_segundos, -1) < 0 THEN 'delay_segundos debe ser numerico y no negativo' END], lambda e: e IS NOT NULL), '; ') AS errores FROM f""",
     "csv_flatten": """SELECT id, CAST(to_json(urls) AS VARCHAR) AS urls, CAST(to_json(dominios_permitidos) AS VARCHAR) AS dominios_permitidos, coalesce(CAST(limite_noticias AS VARCHAR), '') AS limite_noticias, coalesce(notas, '') AS notas FROM fuentes""",
+    "corpus_rows": f"WITH {text_queries._PROCESSED} SELECT doc_id, array_to_string(tokens[1:50], ' ') AS tokens, array_to_string(terminos[1:30], ' | ') AS terminos FROM pro",
     "normalised_articles": """SELECT fila AS pos, coalesce(nullif(trim(titulo), ''), '') AS titulo, coalesce(nullif(trim(resumen), ''), '') AS cuerpo, left(coalesce(nullif(trim(fecha), ''), 'sin_fecha'), 10) AS fecha, coalesce(nullif(trim(autor), ''), 'Autor desconocido') AS autor,
         coalesce(nullif(trim(categoria), ''), 'sin_categoria') AS categoria, coalesce(nullif(trim(url), ''), 'urn:noticia:' || fila) AS url FROM noticias_paginadas""",
     "labelled_texts": """WITH t AS (SELECT concat_ws(' ', nullif(trim(titulo), ''), nullif(trim(cuerpo), '')) AS texto, coalesce(nullif(trim(categoria_original), ''), nullif(trim(fuente), '')) AS etiqueta FROM noticias)
