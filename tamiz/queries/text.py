@@ -136,14 +136,16 @@ def recommend_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommend_exclude_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("categoria"))
-    return similarity.recommend(_neighbours(spark, sf_dir, 50).drop("rango"), docs, n=3, other_categories=True).select("i", "j", F.round("coseno", 6).alias("coseno"), "rango")
+    vectors = read_table(spark, sf_dir, "embeddings")
+    found = similarity.nearest_vectors(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), 3, differ="label", later_first=False)
+    return found.select("i", "j", F.round("coseno", 6).alias("coseno"), "rango")
 
 
 def recommend_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sims = _neighbours(spark, sf_dir, 50).drop("rango")
-    read = sims.select(F.col("i")).distinct().withColumn("perfil", F.col("i") % 3)
-    return similarity.recommend_for_profile(sims, read, 3).select("perfil", "j", F.round("afinidad", 6).alias("afinidad"), "rango")
+    vectors = read_table(spark, sf_dir, "embeddings")
+    read = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), (F.col("vec_id") % 3).alias("perfil"))
+    sums = similarity.profile_affinities(vectors, "vec_id", "embedding", read)
+    return similarity.best_unread(sums, read, 3).select("perfil", "j", F.round("afinidad", 6).alias("afinidad"), "rango")
 
 
 def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,43 @@ def test_nearest_vectors_against_brute_force(spark, monkeypatch):
     cos = u @ u.T
     np.fill_diagonal(cos, -2)
     assert got == {(i, k + 1): int(j) for i in range(9) for k, j in enumerate(np.argsort(-cos[i])[:3])}
+
+
+def _vector_table(folder, n=400, seed=5):
+    """An ``embeddings`` table, its unit vectors and labels: all near vectors of a query have its label."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(seed)
+    labels = [f"c{i // 10 % 2}" for i in range(n)]
+    centres = {"c0": np.array([3.0, 0, 0, 0]), "c1": np.array([0, 3.0, 0, 0])}
+    v = np.stack([centres[x] + r.normal(size=4) for x in labels]).astype("float32")
+    pd.DataFrame({"vec_id": np.arange(n), "label": labels, "embedding": [[float(x) for x in row] for row in v]}).to_parquet(f"{folder}/embeddings.parquet")
+    u = v.astype("float64")
+    return u / np.linalg.norm(u, axis=1, keepdims=True), labels
+
+
+def test_profiles_sum_whole_similarity_rows(spark, tmp_path, monkeypatch):
+    from tamiz.queries import text as queries
+
+    monkeypatch.setattr("tamiz.operators.similarity.BLOCK", 64)
+    u, _ = _vector_table(tmp_path)
+    read = [i for i in range(len(u)) if i % 50 == 0]
+    wanted = {}
+    for p in range(3):
+        sums = u @ u[[i for i in read if i % 3 == p]].sum(axis=0)
+        left = sorted((j for j in range(len(u)) if not (j in read and j % 3 == p)), key=lambda j: (-round(sums[j], 9), -j))[:3]
+        wanted |= {(p, k + 1): (j, round(sums[j], 6)) for k, j in enumerate(left)}
+    got = {(r.perfil, r.rango): (r.j, r.afinidad) for r in queries.recommend_profile(spark, str(tmp_path)).collect()}
+    assert {k: j for k, (j, _) in got.items()} == {k: j for k, (j, _) in wanted.items()}
+    assert all(abs(got[k][1] - wanted[k][1]) < 2e-6 for k in wanted)
+
+
+def test_other_categories_are_chosen_before_the_nearest(spark, tmp_path, monkeypatch):
+    from tamiz.queries import text as queries
+
+    monkeypatch.setattr("tamiz.operators.similarity.BLOCK", 64)
+    u, labels = _vector_table(tmp_path)
+    cos = u @ u.T
+    wanted = {(i, k + 1): j for i in range(0, len(u), 50) for k, j in enumerate(sorted((j for j in range(len(u)) if labels[j] != labels[i]), key=lambda j: (-round(cos[i, j], 9), j))[:3])}
+    assert {(r.i, r.rango): r.j for r in queries.recommend_exclude_category(spark, str(tmp_path)).collect()} == wanted
