@@ -110,6 +110,29 @@ def profile_affinities(df: DataFrame, ident: str, vector: str, read: DataFrame,
     return met.mapInPandas(multiply, f"{profile} {kind}, j long, afinidad double")
 
 
+def similar_pairs(df: DataFrame, ident: str, vector: str, least: float) -> DataFrame:
+    """(a, b), a before b: every pair of vectors whose cosine is ``least`` or more.
+
+    Every block of vectors meets every block; the threshold is applied inside
+    the product. Nothing else is left out, so the pairs may grow as the square
+    of the vectors.
+    """
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                a_ids, b_ids = np.asarray(row.q_ids), np.asarray(row.v_ids)
+                if a_ids.min() >= b_ids.max():
+                    continue
+                a, b = _unit(row.q_vectors, len(a_ids)), _unit(row.v_vectors, len(b_ids))
+                # In strips, so that a frame of pairs stays small.
+                for k in range(0, len(a_ids), 256):
+                    i, j = np.nonzero((a[k : k + 256] @ b.T >= least) & (a_ids[k : k + 256, None] < b_ids[None, :]))
+                    yield pd.DataFrame({"a": a_ids[k + i], "b": b_ids[j]})
+
+    return _meet(df.sparkSession, _blocks(df, ident, vector, BLOCK, "q"), _blocks(df, ident, vector, BLOCK, "v")).mapInPandas(multiply, "a long, b long")
+
+
 def recommend(similarities: DataFrame, docs: DataFrame, category: str = "categoria", n: int = 3, other_categories: bool = False) -> DataFrame:
     """(i, j, coseno, rango) of (i, j, coseno): the nearest items, ties j ascending; optionally of another category only."""
     rows = similarities

@@ -149,11 +149,10 @@ def recommend_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leader groups over the graph of near vectors."""
-    sims = _neighbours(spark, sf_dir, 20).where("coseno >= 0.15")
-    edges = sims.select(F.col("i").alias("a"), F.col("j").alias("b"))
-    nodes = edges.select(F.col("a").alias("nodo")).unionByName(edges.select(F.col("b").alias("nodo"))).distinct()
-    return similarity.greedy_groups(nodes, edges)
+    """Leader groups of all vectors over all pairs whose cosine is 0.15 or more."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    nodes = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").alias("nodo"))
+    return similarity.greedy_groups(nodes, similarity.similar_pairs(vectors, "vec_id", "embedding", 0.15))
 
 
 QUERIES = {

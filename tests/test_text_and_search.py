@@ -160,3 +160,16 @@ def test_other_categories_are_chosen_before_the_nearest(spark, tmp_path, monkeyp
     cos = u @ u.T
     wanted = {(i, k + 1): j for i in range(0, len(u), 50) for k, j in enumerate(sorted((j for j in range(len(u)) if labels[j] != labels[i]), key=lambda j: (-round(cos[i, j], 9), j))[:3])}
     assert {(r.i, r.rango): r.j for r in queries.recommend_exclude_category(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_groups_of_all_vectors(spark, tmp_path, monkeypatch):
+    from tamiz.queries import text as queries
+
+    monkeypatch.setattr("tamiz.operators.similarity.BLOCK", 64)
+    u, _ = _vector_table(tmp_path, 250)
+    cos = u @ u.T
+    lead: dict[int, int] = {}
+    for i in range(len(u)):
+        if i not in lead:
+            lead |= {j: i for j in range(i, len(u)) if j not in lead and (j == i or cos[i, j] >= 0.15)}
+    assert dict(queries.greedy_groups(spark, str(tmp_path)).collect()) == lead
