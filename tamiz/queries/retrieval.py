@@ -94,7 +94,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.question_pairs(_asked(spark, sf_dir)).where("tipo <> 'contenido'")
+    return dialogue.question_pairs(_asked(spark, sf_dir))
 
 
 def question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:

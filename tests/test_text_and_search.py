@@ -173,3 +173,12 @@ def test_groups_of_all_vectors(spark, tmp_path, monkeypatch):
         if i not in lead:
             lead |= {j: i for j in range(i, len(u)) if j not in lead and (j == i or cos[i, j] >= 0.15)}
     assert dict(queries.greedy_groups(spark, str(tmp_path)).collect()) == lead
+
+
+def test_question_pairs_hold_the_content(spark, tmp_path):
+    from tamiz.queries import retrieval
+
+    spark.createDataFrame([(1, "Uno\nDos.", "es", "x"), (2, None, None, "x")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.tipo): (r.contexto, r.respuesta) for r in retrieval.question_pairs(spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, tipo) for i in (1, 2) for tipo in ("contenido", "categoria", "sentimiento")}
+    assert got[1, "contenido"] == ("Uno Uno\nDos.", "Uno. Uno\nDos.") and got[2, "contenido"] == (" ", ". ")
