@@ -1,18 +1,22 @@
 """Normalise timestamps of mixed notation and zone to one unambiguous form.
 
-A value is reduced to its shape mask (every letter run becomes ``a``, every
-digit ``9``); each distinct mask is matched once against the notations below,
-and all values with that mask are then converted together with numpy. Local
-times go through a table of the zone's transitions, built once per worker from
-the installed time-zone database, whose version is reported by
-:func:`zone_table_version`.
+A value is reduced to its shape mask: every digit becomes ``9``, the name of a
+month ``M``, of a day of the week ``D``, a name that can be either ``X``; the
+short words that notations are made of stay, any other word becomes ``W``. A
+mask so holds all that decides between notations, and each distinct mask is
+mapped to its one parser once; all values with that mask are then converted
+together with numpy. Local times go through a table of the zone's transitions,
+built once per worker from the installed time-zone database. The version of
+that database (:func:`zone_table_version`) is taken when the plan is made: a
+worker with another one fails instead of giving other instants, and the result
+can carry it in a column.
 
 Defined results: null, blank, relative or wordy values, impossible dates, and
 local times that occur twice or never in their zone give null. A value without
 a time of day gives ``yyyy-MM-dd`` as written; any other one gives
 ``yyyy-MM-ddTHH:mm:ssZ`` in UTC, fractions dropped. A missing zone or an
-unknown one gives null for local times. Texts longer than 80 characters hold
-no timestamp alone and give null.
+unknown one gives null for local times. Texts of any length are read in whole;
+digits are those of ASCII.
 """
 
 from __future__ import annotations
@@ -28,9 +32,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text taken for a timestamp.
-MAX_CHARS = 80
-
 # Names of the months, by language.
 MONTHS = {
     "es": ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"],
@@ -57,9 +58,9 @@ for _names in MONTHS.values():
         _MONTH_NUMBER.setdefault(_name[:3], _i)
 _DAY_NAMES = set(DAYS) | {d[:3] for d in DAYS}
 
-_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,]\d{1,9})?)?"
+_TIME = r"(?P<H>[0-9]{1,2}):(?P<M>[0-9]{2})(?::(?P<S>[0-9]{2})(?:[.,][0-9]{1,9})?)?"
 _AMPM = r"(?:\s?(?P<ap>[ap])\.?\s?m(?![^\W\d_])\.?)?"
-_ZONE = r"(?:\s?(?P<z>[+-]\d{2}(?::?\d{2})?|[a-z]+(?:[/_+-][a-z0-9]+)*))?"
+_ZONE = r"(?:\s?(?P<z>[+-][0-9]{2}(?::?[0-9]{2})?|[a-z]+(?:[/_+-][a-z0-9]+)*))?"
 _DAY = r"(?:(?P<wd>[^\W\d_]+)\.?,?\s)?"
 _HOURS = r"(?:\s?(?:h|hs|hrs|horas)\.?)?"
 
@@ -67,54 +68,68 @@ _HOURS = r"(?:\s?(?:h|hs|hrs|horas)\.?)?"
 NOTATIONS: list[tuple[str, re.Pattern]] = [
     (name, re.compile(pattern))
     for name, pattern in [
-        ("epoch", r"(?P<n>\d{10}|\d{13}|\d{16})"),
-        ("compact_day", r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})"),
-        ("compact", rf"(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})[t ]?(?P<H>\d{{2}})(?P<M>\d{{2}})(?P<S>\d{{2}})?(?:[.,]\d{{1,9}})?{_ZONE}"),
-        ("iso_day", r"(?P<y>\d{4})([-/.])(?P<m>\d{1,2})\2(?P<d>\d{1,2})"),
-        ("iso", rf"(?P<y>\d{{4}})([-/.])(?P<m>\d{{1,2}})\2(?P<d>\d{{1,2}})(?:t|\s|,\s){_TIME}{_AMPM}{_ZONE}{_HOURS}"),
-        ("mail", rf"{_DAY}(?P<d>\d{{1,2}})\s(?P<mon>[^\W\d_]+)\.?,?\s(?P<y>\d{{4}}),?\s{_TIME}{_AMPM}{_ZONE}{_HOURS}"),
-        ("mail_day", rf"{_DAY}(?P<d>\d{{1,2}})[\s-](?P<mon>[^\W\d_]+)\.?,?[\s-](?P<y>\d{{4}})"),
-        ("long", rf"{_DAY}(?P<d>\d{{1,2}})(?:º|o)?\sde\s(?P<mon>[^\W\d_]+)\sdel?\s(?P<y>\d{{4}})(?:,|\s-|\sa\slas|,\sa\slas)?\s{_TIME}{_AMPM}{_HOURS}{_ZONE}"),
-        ("long_day", rf"{_DAY}(?P<d>\d{{1,2}})(?:º|o)?\sde\s(?P<mon>[^\W\d_]+)\sdel?\s(?P<y>\d{{4}})"),
-        ("english", rf"{_DAY}(?P<mon>[^\W\d_]+)\.?\s(?P<d>\d{{1,2}}),?\s(?P<y>\d{{4}}),?\s{_TIME}{_AMPM}{_ZONE}"),
-        ("english_day", rf"{_DAY}(?P<mon>[^\W\d_]+)\.?\s(?P<d>\d{{1,2}}),?\s(?P<y>\d{{4}})"),
-        ("digits", rf"(?P<a>\d{{1,2}})([-/.])(?P<b>\d{{1,2}})\2(?P<y>\d{{4}}|\d{{2}})(?:,?\s|,?\s?-\s?){_TIME}{_AMPM}{_HOURS}{_ZONE}"),
-        ("digits_day", r"(?P<a>\d{1,2})([-/.])(?P<b>\d{1,2})\2(?P<y>\d{4}|\d{2})"),
+        ("epoch", r"(?P<n>[0-9]{10}|[0-9]{13}|[0-9]{16})"),
+        ("compact_day", r"(?P<y>[0-9]{4})(?P<m>[0-9]{2})(?P<d>[0-9]{2})"),
+        ("compact", rf"(?P<y>[0-9]{{4}})(?P<m>[0-9]{{2}})(?P<d>[0-9]{{2}})[t ]?(?P<H>[0-9]{{2}})(?P<M>[0-9]{{2}})(?P<S>[0-9]{{2}})?(?:[.,][0-9]{{1,9}})?{_ZONE}"),
+        ("iso_day", r"(?P<y>[0-9]{4})([-/.])(?P<m>[0-9]{1,2})\2(?P<d>[0-9]{1,2})"),
+        ("iso", rf"(?P<y>[0-9]{{4}})([-/.])(?P<m>[0-9]{{1,2}})\2(?P<d>[0-9]{{1,2}})(?:t|\s|,\s){_TIME}{_AMPM}{_ZONE}{_HOURS}"),
+        ("mail", rf"{_DAY}(?P<d>[0-9]{{1,2}})\s(?P<mon>[^\W\d_]+)\.?,?\s(?P<y>[0-9]{{4}}),?\s{_TIME}{_AMPM}{_ZONE}{_HOURS}"),
+        ("mail_day", rf"{_DAY}(?P<d>[0-9]{{1,2}})[\s-](?P<mon>[^\W\d_]+)\.?,?[\s-](?P<y>[0-9]{{4}})"),
+        ("long", rf"{_DAY}(?P<d>[0-9]{{1,2}})(?:º|o)?\sde\s(?P<mon>[^\W\d_]+)\sdel?\s(?P<y>[0-9]{{4}})(?:,|\s-|\sa\slas|,\sa\slas)?\s{_TIME}{_AMPM}{_HOURS}{_ZONE}"),
+        ("long_day", rf"{_DAY}(?P<d>[0-9]{{1,2}})(?:º|o)?\sde\s(?P<mon>[^\W\d_]+)\sdel?\s(?P<y>[0-9]{{4}})"),
+        ("english", rf"{_DAY}(?P<mon>[^\W\d_]+)\.?\s(?P<d>[0-9]{{1,2}}),?\s(?P<y>[0-9]{{4}}),?\s{_TIME}{_AMPM}{_ZONE}"),
+        ("english_day", rf"{_DAY}(?P<mon>[^\W\d_]+)\.?\s(?P<d>[0-9]{{1,2}}),?\s(?P<y>[0-9]{{4}})"),
+        ("digits", rf"(?P<a>[0-9]{{1,2}})([-/.])(?P<b>[0-9]{{1,2}})\2(?P<y>[0-9]{{4}}|[0-9]{{2}})(?:,?\s|,?\s?-\s?){_TIME}{_AMPM}{_HOURS}{_ZONE}"),
+        ("digits_day", r"(?P<a>[0-9]{1,2})([-/.])(?P<b>[0-9]{1,2})\2(?P<y>[0-9]{4}|[0-9]{2})"),
     ]
 ]
 
 
-def shape_mask(text: str) -> str:
-    """Character-class mask: digits become ``9``, runs of letters ``a``; other characters stay."""
-    return re.sub(r"\d", "9", re.sub(r"[^\W\d_]+", "a", text))
+# The words that notations are made of.
+CONNECTING = frozenset("a al as de del la las o t z h hs hrs horas p m am pm".split())
+_PIECE = re.compile(r"[0-9]|[^\W\d_]+")
+#: A value that stands for all of a class of the mask.
+_STANDS_FOR = {"9": "1", "M": "mayo", "D": "lunes", "X": "mar", "W": "utc"}
 
 
-@functools.lru_cache(maxsize=4096)
-def _notations_of(mask: str) -> tuple[tuple[str, re.Pattern], ...]:
-    """The notations that a mask can be; decided once per distinct mask.
+@functools.lru_cache(maxsize=50_000)
+def _class_of(piece: str) -> str:
+    if piece[0].isdigit():
+        return "9"
+    month, day = piece in _MONTH_NUMBER, piece in _DAY_NAMES
+    return "X" if month and day else "M" if month else "D" if day else piece if piece in CONNECTING else "W"
 
-    A one-letter or two-letter word decides between some notations, so all
-    that fit the mask's digits and separators are kept, in order of priority.
-    """
+
+def class_mask(folded: str) -> str:
+    """Character-class mask of a folded value (lower case, no accents): classes are capitals and ``9``."""
+    return _PIECE.sub(lambda found: _class_of(found[0]), folded)
+
+
+@functools.lru_cache(maxsize=4096)
+def parser_of(mask: str) -> tuple[str, re.Pattern] | None:
+    """The one notation that values of a mask are written in, decided on a value that stands for them all."""
     digits = mask.count("9")
-    if digits < 4 or digits > 26:
-        return ()
-    wordy = "a" in mask
-    return tuple(
-        (name, pattern)
-        for name, pattern in NOTATIONS
-        if wordy or "<mon>" not in pattern.pattern
-        if (name == "epoch") == (mask == "9" * digits and digits in (10, 13, 16))
-    )
+    stands = re.sub("[9MDXW]", lambda found: _STANDS_FOR[found[0]], mask)
+    for name, pattern in NOTATIONS:
+        if (name == "epoch") != (mask == "9" * digits and digits in (10, 13, 16)):
+            continue
+        found = pattern.fullmatch(stands)
+        if found and (found.groupdict().get("wd") or "lunes") in _DAY_NAMES:
+            return name, pattern
+    return None
+
+
+@functools.cache
+def _known_zones() -> frozenset[str]:
+    return frozenset(zoneinfo.available_timezones())
 
 
 @functools.lru_cache(maxsize=1024)
 def zone_transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     """(UTC seconds at which an offset begins, the offset), or null for an unknown zone; covers 1900 to 2100."""
-    try:
-        zone = zoneinfo.ZoneInfo(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError, IsADirectoryError):
+    if name not in _known_zones():
         return None
+    zone = zoneinfo.ZoneInfo(name)
     utc = dt.UTC
 
     def offset(t: int) -> int:
@@ -138,6 +153,7 @@ def zone_transitions(name: str) -> tuple[np.ndarray, np.ndarray] | None:
     return np.array(at, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
+@functools.cache
 def zone_table_version() -> str:
     """Version of the time-zone database behind :func:`zone_transitions`."""
     for folder in zoneinfo.TZPATH:
@@ -267,38 +283,41 @@ def _instants(seconds: np.ndarray, good: np.ndarray, index: pd.Index) -> pd.Seri
 def normalise_batch(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
     """Normal form of each value; ``zones`` and ``orders`` are the zone and the day/month order of its source."""
     out = pd.Series([None] * len(values), index=values.index, dtype=object)
-    present = values.notna() & (values.str.len() <= MAX_CHARS).fillna(False)
+    present = values.notna()
     if not present.any():
         return out
     plain = _folded(values[present])
-    masks = plain.map({x: shape_mask(x) for x in plain.unique()})
+    masks = plain.map({x: class_mask(x) for x in plain.unique()})
     for mask, index in masks.groupby(masks).groups.items():
-        rest = plain.loc[index]
-        for name, pattern in _notations_of(mask):
-            found = rest.str.extract(rf"^(?:{pattern.pattern})$")
-            hit = found["n" if name == "epoch" else "y"].notna()
-            if not hit.any():
-                continue
-            found = found.loc[hit, [c for c in found.columns if isinstance(c, str)]]
-            if "wd" in found and not found["wd"].isna().all():
-                found = found[found["wd"].isna() | found["wd"].isin(_DAY_NAMES)]
+        # The cache holds short masks only; a long one is as well mapped once a batch.
+        parser = parser_of(mask) if len(mask) <= 200 else parser_of.__wrapped__(mask)
+        if parser is None:
+            continue
+        name, pattern = parser
+        found = plain.loc[index].str.extract(rf"^(?:{pattern.pattern})$")
+        found = found.loc[found["n" if name == "epoch" else "y"].notna(), [c for c in found.columns if isinstance(c, str)]]
+        if len(found):
             out.loc[found.index] = _convert(name, found, zones.loc[found.index], orders.loc[found.index], values.loc[found.index])
-            rest = rest.drop(found.index)
-            if rest.empty:
-                break
     return out
 
 
-def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str, out: str = "normal") -> DataFrame:
-    """Add ``out``, the normal form of column ``text``, given columns with the source's zone and day/month order."""
+def normalise_timestamps(df: DataFrame, text: str, zone: str, order: str, out: str = "normal", version: str | None = None) -> DataFrame:
+    """Add ``out``, the normal form of column ``text``, given columns with the source's zone and day/month order.
+
+    ``version`` names a column for the version of the zone tables behind the result.
+    """
+    tables = zone_table_version()
 
     @F.pandas_udf("string")
     def normal(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
+        if zone_table_version() != tables:
+            raise RuntimeError(f"zone tables {zone_table_version()} on a worker, {tables} on the driver")
         return normalise_batch(values, zones, orders)
 
-    return df.withColumn(out, normal(F.col(text), F.col(zone), F.col(order)))
+    found = df.withColumn(out, normal(F.col(text), F.col(zone), F.col(order)))
+    return found.withColumn(version, F.lit(tables)) if version else found
 
 
 def shape_of(text: Column) -> Column:
-    """:func:`shape_mask` as a JVM expression, for profiling a column's notations."""
+    """The plain shape of a text (digits ``9``, runs of letters ``a``) as a JVM expression, for profiling a column's notations."""
     return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}", "9")

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamiz.operators.timestamps import local_to_utc, normalise_batch, normalise_timestamps, shape_mask
+from tamiz.operators.timestamps import class_mask, local_to_utc, normalise_batch, normalise_timestamps, parser_of, zone_table_version
 
 
 def one(text, zone="Europe/Madrid", order="dma"):
@@ -80,7 +80,31 @@ def test_local_times_against_brute_force(local, zone):
 
 
 def test_mask():
-    assert shape_mask("Mon, 02 Jan 2023") == "a, 99 a 9999"
+    assert class_mask("mon, 02 jan 2023") == "D, 99 M 9999"
+    assert class_mask("mar 7 de mar de 2023 utc") == "X 9 de X de 9999 W"
+    assert parser_of("D, 99 M 9999")[0] == "mail_day"
+    assert parser_of("W, 99 M 9999") is None
+
+
+def test_a_mask_has_one_parser():
+    values = [x for x, _ in CASES if x and len(x) < 80]
+    alone = [one(x) for x in values]
+    n = len(values)
+    together = normalise_batch(pd.Series(values), pd.Series(["Europe/Madrid"] * n), pd.Series(["dma"] * n))
+    assert [None if x is None else x for x in together] == alone
+
+
+def test_long_values_and_other_digits():
+    assert one(" " * 500 + "2023-01-02" + "\n" * 500) == "2023-01-02"
+    assert one("2023-01-02T02:00:30.123456789-06:00:00"[:38]) is None
+    assert one("2023-01-02 02:00:30.123456789 -06:00") == "2023-01-02T08:00:30Z"
+    assert one("\u0662\u0660\u0662\u0663-01-02") is None
+    assert one("2023-01-02 02:00 " + "zona/" * 40_000 + "x") is None
+
+
+def test_version_of_the_zone_tables(spark):
+    df = spark.createDataFrame([("2023-01-02 02:00", "UTC", "dma")], "fecha string, zona string, orden string")
+    assert normalise_timestamps(df, "fecha", "zona", "orden", version="tablas").first()["tablas"] == zone_table_version()
 
 
 def test_frame_with_clashing_and_extra_columns(spark):
