@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.text import query_pieces
+from tamiz.session import broadcast_if_small, materialise
 
-#: Saved queries up to which one broadcast holds them.
-MAX_QUERIES = 100_000
+#: Saved queries of one block.
+BLOCK_QUERIES = 100_000
 
 
 def article_key(df: DataFrame):
@@ -26,15 +29,20 @@ def register(queries: DataFrame, fresh: DataFrame) -> DataFrame:
 def matches(articles: DataFrame, queries: DataFrame) -> DataFrame:
     """(consulta, expresion, noticia_id, titulo): articles whose title and body hold every piece of a query.
 
-    Pieces are substrings in lower case; accents matter. The saved queries are
-    few beside the articles: their number is checked, and they are broadcast.
+    Pieces are substrings in lower case; accents matter. The saved queries meet
+    the articles in blocks of about ``BLOCK_QUERIES``, each broadcast by itself.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError("too many saved queries for one pass")
     prepared = queries.select(F.col("nombre").alias("consulta"), "expresion", query_pieces(F.col("expresion")).alias("_p"))
     text = F.lower(F.concat_ws(" ", F.coalesce("titulo", F.lit("")), F.coalesce("cuerpo", F.lit(""))))
     rows = articles.select(article_key(articles).alias("noticia_id"), "titulo", text.alias("_t"))
-    met = rows.join(F.broadcast(prepared), F.expr("forall(_p, p -> contains(_t, p))"))
+    blocks = -(-queries.count() // BLOCK_QUERIES)
+    if blocks > 1:
+        prepared = materialise(prepared.withColumn("_b", F.pmod(F.xxhash64("consulta", "expresion"), F.lit(blocks))), "queries")
+        parts = [prepared.where(F.col("_b") == b).drop("_b") for b in range(blocks)]
+    else:
+        parts = [prepared]
+    holds = F.expr("forall(_p, p -> contains(_t, p))")
+    met = reduce(DataFrame.unionByName, [rows.join(broadcast_if_small(part), holds) for part in parts])
     return met.select("consulta", "expresion", "noticia_id", "titulo")
 
 

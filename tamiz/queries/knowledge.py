@@ -9,7 +9,7 @@ from tamiz.functions.text import slug
 from tamiz.operators import graph
 from tamiz.operators.sentiment import label
 from tamiz.queries.base import news
-from tamiz.session import read_table
+from tamiz.session import broadcast_if_small, read_table
 
 
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def kg_theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     counts = graph.count_by_category(_triples(spark, sf_dir))
     areas = read_table(spark, sf_dir, "materias").select("materia", F.lower("descripcion").alias("_d"))
-    return counts.join(F.broadcast(areas), F.contains(F.col("_d"), F.lower("categoria"))).select("materia", "categoria", "total")
+    return counts.join(broadcast_if_small(areas), F.contains(F.col("_d"), F.lower("categoria"))).select("materia", "categoria", "total")
 
 
 def kg_shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tamiz.functions.urls import source_host
 from tamiz.operators import classify
 from tamiz.queries.base import news
 from tamiz.queries.records import _ALERTS, SAVED
-from tamiz.session import read_table
+from tamiz.session import materialise, read_table
 from tamiz.streaming import alerts as streams
 from tamiz.streaming.run import read_stream, run_available
 
@@ -29,7 +29,7 @@ def classify_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures on the fifth of the labelled articles that the model has not seen."""
-    rows = classify.folds(_labelled(spark, sf_dir), "etiqueta", 5, "pos").persist()
+    rows = materialise(classify.folds(_labelled(spark, sf_dir), "etiqueta", 5, "pos"), "folds")
     model, labels = classify.train(rows.where("pliegue <> 0"), estimator=classify.candidates()["LogisticRegression"])
     return classify.classification_report(classify.predict(model, labels, rows.where("pliegue = 0")))
 

@@ -9,7 +9,7 @@ from tamiz.functions import lexicons
 from tamiz.functions.text import clean, fold, words
 from tamiz.operators import nlp, search, similarity
 from tamiz.queries.base import DOCS, WORDS, documents, sql_list
-from tamiz.session import read_table
+from tamiz.session import materialise, read_table
 
 QUERY = "inflación y salario mínimo"
 
@@ -117,7 +117,7 @@ def search_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three nearest documents of every document whose number is divisible by 50, among all."""
     weights, _, docs = _weights(spark, sf_dir)
-    weights = weights.persist()
+    weights = materialise(weights, "weights")
     return search.similar_documents(weights, docs.where("doc_id % 50 = 0"), 3).select("i", "j", F.round("coseno", 6).alias("coseno"), "rango")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.text import fold, slug
 from tamiz.functions.urls import host_of
+from tamiz.session import broadcast_if_small
 
 
 def active(catalogue: DataFrame) -> DataFrame:
@@ -37,9 +38,9 @@ def validation_errors(catalogue: DataFrame) -> DataFrame:
 def with_custom(catalogue: DataFrame, fresh: DataFrame) -> DataFrame:
     """The catalogue and new sources (nombre, base_url): known hosts are left out, identifiers get the first free suffix."""
     known = catalogue.select(host_of(F.col("base_url")).alias("_h")).distinct()
-    named = fresh.withColumn("_h", host_of(F.col("base_url"))).where("_h IS NOT NULL").dropDuplicates(["_h"]).join(F.broadcast(known), "_h", "left_anti")
+    named = fresh.withColumn("_h", host_of(F.col("base_url"))).where("_h IS NOT NULL").dropDuplicates(["_h"]).join(broadcast_if_small(known), "_h", "left_anti")
     named = named.withColumn("_s", slug(F.col("nombre"), "sin_valor"))
     taken = catalogue.select(F.regexp_replace("id", r"_\d+$", "").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"))
-    numbered = named.join(F.broadcast(taken), "_s", "left").withColumn("_k", F.coalesce("_n", F.lit(0)) + F.row_number().over(Window.partitionBy("_s").orderBy("_h")))
+    numbered = named.join(broadcast_if_small(taken), "_s", "left").withColumn("_k", F.coalesce("_n", F.lit(0)) + F.row_number().over(Window.partitionBy("_s").orderBy("_h")))
     rows = numbered.select(F.when(F.col("_k") > 1, F.concat("_s", F.lit("_"), F.col("_k").cast("string"))).otherwise(F.col("_s")).alias("id"), "nombre", "base_url")
     return catalogue.unionByName(rows, allowMissingColumns=True)

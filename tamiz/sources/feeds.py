@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import lexicons
 from tamiz.functions.text import collapse
 from tamiz.operators.quality import first_by_key
+from tamiz.session import broadcast_if_small
 
 
 def read_rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -108,7 +109,7 @@ def union_sources(sources: list[DataFrame], order: str = "pos") -> DataFrame:
 def limited(df: DataFrame, source: str, order: str, limits: DataFrame, limit: str) -> DataFrame:
     """At most the stated number of records of each source, first ones first: the limit is the feature here."""
     numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(order)))
-    return numbered.join(F.broadcast(limits.select(source, limit)), source).where(F.col("_r") <= F.col(limit)).drop("_r", limit)
+    return numbered.join(broadcast_if_small(limits.select(source, limit)), source).where(F.col("_r") <= F.col(limit)).drop("_r", limit)
 
 
 def normalised_articles(df: DataFrame, base: str = "urn:noticia:", order: str = "pos") -> DataFrame:

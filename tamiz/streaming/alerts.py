@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tamiz.operators.alerts import matches
 from tamiz.operators.dialogue import topics
+from tamiz.session import broadcast_if_small
 
 
 def alert_stream(articles: DataFrame, queries: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def alert_stream_within(articles: DataFrame, queries: DataFrame, event_time: str
     prepared = queries.select(F.col("nombre").alias("consulta"), query_pieces(F.col("expresion")).alias("_p"))
     text = F.lower(F.concat_ws(" ", F.coalesce("titulo", F.lit("")), F.coalesce("cuerpo", F.lit(""))))
     rows = articles.withWatermark(event_time, delay).select(event_time, article_key(articles).alias("noticia_id"), "titulo", text.alias("_t"))
-    met = rows.join(F.broadcast(prepared), F.expr("forall(_p, p -> contains(_t, p))")).drop("_t", "_p")
+    met = rows.join(broadcast_if_small(prepared), F.expr("forall(_p, p -> contains(_t, p))")).drop("_t", "_p")
     return met.dropDuplicatesWithinWatermark(["consulta", "noticia_id"])
 
 
