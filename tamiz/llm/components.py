@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tamiz.session import materialise
 
-MAX_ROUNDS = 50
+#: Large-star and small-star rounds halve the depth of every tree: so many suffice for any graph that fits a disk.
+MAX_ROUNDS = 100
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,6 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if tuple(now) == signature:
             break
         signature = tuple(now)
+    else:
+        raise RuntimeError(f"components not found in {MAX_ROUNDS} rounds")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return found.unionByName(roots).unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -17,13 +17,13 @@ SOURCE_SHARE, AUTHOR_SHARE = 0.05, 0.01
 def _with_site(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, frozenset[str]]:
     """``noticias`` with the name of each record's site, and the names of all sites (the fixed table of sources)."""
     fuentes = read_table(spark, sf_dir, "fuentes").select(host_of(F.col("base_url")).alias("_host"), F.col("nombre").alias("_site"))
-    names = frozenset(" ".join(r[0].lower().split()) for r in fuentes.select("_site").where("_site IS NOT NULL").distinct().limit(10_000).collect())
+    names = frozenset(" ".join(r[0].lower().split()) for r in fuentes.select("_site").where("_site IS NOT NULL").distinct().collect())
     noticias = read_table(spark, sf_dir, "noticias").select(*columns, source_host(F.col("fuente"), F.col("url")).alias("_host"))
     return noticias.join(broadcast_if_small(fuentes.dropDuplicates(["_host"])), "_host", "left"), names
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = [r[0] for r in read_table(spark, sf_dir, "materias").select("materia").distinct().orderBy("materia").limit(1_000).collect()]
+    areas = [r[0] for r in read_table(spark, sf_dir, "materias").select("materia").distinct().orderBy("materia").collect()]
     noticias, seeds = read_table(spark, sf_dir, "noticias"), read_table(spark, sf_dir, "etiquetas")
     return subjects.document_subjects(noticias.select("pos", "cuerpo"), "pos", "cuerpo", seeds, "pos", "materia", areas)
 
