@@ -210,4 +210,15 @@ ORACLES: dict[str, str] = {
             FROM raw),
         often AS (SELECT src, l FROM folded WHERE l <> '' GROUP BY src, l HAVING count(DISTINCT pos) >= 10)
         SELECT DISTINCT f.pos, f.linea FROM folded f JOIN often o ON f.src IS NOT DISTINCT FROM o.src AND f.l = o.l""",
+    "p7_blocks": f"""
+        WITH docs AS (SELECT pos, {_SOURCE} AS src, string_split(cuerpo, chr(10)) AS ls FROM noticias WHERE cuerpo <> ''),
+        raw AS (SELECT pos, src, unnest(ls) AS l, generate_subscripts(ls, 1) AS linea FROM docs),
+        folded AS (
+            SELECT pos, src, linea, trim(regexp_replace(regexp_replace(lower(l), '\\p{{Nd}}+', '0', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS l
+            FROM raw),
+        held AS (SELECT pos, src, list(hash(l) ORDER BY linea) AS ls FROM folded WHERE l <> '' GROUP BY pos, src),
+        starts AS (SELECT pos, src, ls, unnest(range(1, len(ls) + 1)) AS i FROM held),
+        spans AS (SELECT pos, src, ls, i, unnest(range(i, len(ls) + 1)) AS j FROM starts),
+        blocks AS (SELECT j - i + 1 AS n_lines, src, list_slice(ls, i, j) AS block, count(DISTINCT pos) AS docs FROM spans GROUP BY ALL HAVING count(DISTINCT pos) >= 10)
+        SELECT CAST(n_lines AS INTEGER) AS n_lines, count(*) AS bloques, max(docs) AS documentos_max FROM blocks GROUP BY n_lines""",
 }

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -35,6 +36,51 @@ def test_against_brute_force(spark, cells):
     assert {tuple(r) for r in found.collect()} == brute(rows, 3)
 
 
+def brute_blocks(rows, least):
+    """{n_lines: sorted document counts} and the positions in blocks of two lines or more."""
+    held = {}
+    lines = {pos: [(i, fold(x)) for i, x in enumerate((text or "").split("\n"), 1) if fold(x)] for pos, text, _ in rows}
+    for pos, _, src in rows:
+        own = lines[pos]
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                held.setdefault((src, tuple(x for _, x in own[i:j])), set()).add(pos)
+    often = {k: v for k, v in held.items() if len(v) >= least}
+    sizes = {}
+    for (_, block), docs in often.items():
+        sizes.setdefault(len(block), []).append(len(docs))
+    two = {(pos, own[k][0]) for pos, _, src in rows for own in [lines[pos]] for i in range(len(own) - 1) if (src, tuple(x for _, x in own[i : i + 2])) in often for k in (i, i + 1)}
+    return {k: sorted(v) for k, v in sizes.items()}, two
+
+
+def test_blocks_of_any_length_against_brute_force(spark):
+    r = random.Random(7)
+    notice = [f"aviso {'abcdefghij'[i % 10]}{'klmnop'[i // 10]}" for i in range(45)]
+    rows = []
+    for i in range(24):
+        start = r.randint(0, 10)
+        own = [f"propio {chr(97 + i)}{chr(97 + k)}" for k in range(3)]
+        rows.append((i, "\n".join([*own[:2], *notice[start : r.randint(20, 45)], "Publicidad", own[2], "Publicidad", "PIE", "", "fin"]), r.choice(["s", None])))
+    # The suffixes of a block lie in many partitions and batches.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for least in (3, 8):
+            _, blocks = repeated_lines(frame(spark, rows).repartition(5), "pos", "body", F.col("src"), min_docs=least)
+            got = {}
+            for b in blocks.collect():
+                got.setdefault(b.n_lines, []).append(b.docs)
+            sizes, two = brute_blocks(rows, least)
+            assert {k: sorted(v) for k, v in got.items()} == sizes and max(sizes) > 16
+            found, _ = repeated_lines(frame(spark, rows), "pos", "body", F.col("src"), min_docs=least, min_lines=2)
+            assert {tuple(x) for x in found.collect()} == two
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # A single line that recurs everywhere is no block of two lines: only the common prefixes tell.
+    alone = [(i, f"uno {chr(97 + i)}\nPublicidad\ndos {chr(97 + i)}", "s") for i in range(9)]
+    assert repeated_lines(frame(spark, alone), "pos", "body", F.col("src"), 3, 2)[0].count() == 0
+    assert repeated_lines(frame(spark, alone), "pos", "body", F.col("src"), 3)[0].count() == 9
+
+
 def test_blocks_and_removal(spark):
     rows = [(i, f"texto {chr(97 + i)}\nuno\ndos {i}\ntres\nfin {chr(110 + i)}", "s") for i in range(4)] + [(9, None, "s"), (10, "", None), (11, "x " * 200_000, "s")]
     df = frame(spark, rows)
