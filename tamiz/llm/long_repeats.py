@@ -1,23 +1,34 @@
 """Long spans that occur verbatim in several documents, by recompression.
 
-Rounds of recompression rewrite every text as ever fewer symbols: in each round
-runs of one symbol are named by (symbol, length), then the symbols are put on
-two sides by a bit of their name and each pair left-right becomes one new
-symbol. Names are hashes of what they stand for, so every partition gives equal
-runs and pairs equal names without an exchange, and equal substrings come out
-as equal symbols but for a few at either end. A symbol never grows beyond
-``MAX_SPAN`` characters.
-
-The borders of the last round's symbols are places that two equal substrings
-have in common. From each window of ``WINDOW`` symbols the one of least name is
-an anchor; the ``KEY_CHARS`` characters that start there, named as one, are the
-high-level symbol that is compared over all documents. Documents that share one
-are verified character by character on both sides of it.
-
-Documents with equal texts form a class; one of them stands for all. A name
-shared by more than ``COLD`` documents (a legal notice, say) is divided by what
-stands around it on a grid of left and right extents, so that only documents
-that agree on nearly the whole length are ever paired; no pair is lost by it.
+Every text is rewritten as ever fewer symbols. First runs of one character are
+named, then rounds put the symbols on two sides by a bit of their name and make
+each pair left-right one new symbol. Names are hashes of what they stand for, so
+all partitions name equal runs and pairs alike, and equal substrings come out as
+equal symbols but for a few at either end. The spans of symbols are bounded
+(``CAPS``), so it is known how many characters a border between symbols depends
+on (``CONTEXT``); names of ``KEY_CHARS`` characters and windows of
+``WINDOW_CHARS`` are chosen so that the following holds for *any* text:
+
+    two equal substrings of ``MIN_CHARS`` characters have a common anchor,
+
+an anchor being a border whose symbol has the least name in some window of
+borders. The symbols from an anchor on, until they stand for ``KEY_CHARS``
+characters or more, are the high-level symbol that all documents are compared by.
+
+Rounds over all documents follow. One keeps the high-level symbols that occur in
+several documents. One names the pairs of such symbols that overlap or touch: a
+pair that occurs as often as either of its parts replaces both, and so a whole
+chain of symbols that always occur together becomes one, however long the
+repeat. What is left is verified: symbols of up to ``COLD`` occurrences
+character by character on both sides; those that occur more often (a legal
+notice, say) are divided into all windows of ``MIN_CHARS`` characters that hold
+them, named by 128 bits, so that each document meets only documents with which
+it shares such a window, in blocks of bounded size.
+
+Documents with equal texts form a class; one of them stands for all. The
+operator gives pairs of representatives and the members of the classes
+(:func:`representative_pairs`), and spans without any pairs for hot symbols
+(:func:`shared_spans`); :func:`repeated_pairs` spells all pairs out.
 
 Defined results: null texts, texts without identifier and texts shorter than the length asked for share
 nothing; a repeat inside one document is none; lengths are in code points.
@@ -31,89 +42,113 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.session import BROADCAST_ROWS, materialise
+from tamiz.session import broadcast_if_small, materialise
 
 MIN_CHARS = 300
-ROUNDS = 9
-MAX_SPAN = 64
-WINDOW = 4
-KEY_CHARS = 128
-#: Documents of one name that are compared each with each.
+#: Longest run of one character that becomes a symbol, and longest symbol of each round of pairs.
+RUN_CAP, CAPS = 4, (4, 8, 8, 16)
+#: Characters that a high-level symbol stands for at least, and that the borders an anchor is chosen from span.
+KEY_CHARS, WINDOW_CHARS = 128, 80
+#: Bits of a name that give way to the place of a symbol among those looked at together.
+INDEX_BITS = 22
+#: Occurrences of one name that are compared each with each.
 COLD = 24
-#: Shared anchors up to which they are broadcast to the texts; more are joined by a shuffle.
-PLACES_BROADCAST = 200_000
-#: Step of the grid of extents by which a name of more documents is divided.
-GRID = 12
+#: Documents of one block, where the documents of a window meet.
+BLOCK = 512
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+def context() -> int:
+    """Characters on either side that the existence of a border can depend on.
+
+    A round of pairs looks at the symbols beside a border, each of at most the
+    last cap and with borders of its own; the round of runs looks one character
+    beyond the longest run.
+    """
+    reach, span = RUN_CAP + 1, RUN_CAP
+    for cap in CAPS:
+        reach, span = reach + span, cap
+    return reach
+
+
+#: By what the two ends, the first border, the window, the symbol of the anchor and the last symbol of its name take.
+CONTEXT = context()
+assert 2 * CONTEXT + 2 * max(CAPS) + WINDOW_CHARS + KEY_CHARS <= MIN_CHARS
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
-def recompress(codes: np.ndarray, doc_starts: np.ndarray, rounds: int = ROUNDS, max_span: int = MAX_SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """(names, first positions) of the symbols after the rounds; ``doc_starts`` are the positions at which a text begins."""
-    names = _mix(codes.astype(np.uint64) + _M3)
-    at = np.arange(len(codes), dtype=np.int64)
+def recompress(codes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, first positions) of the symbols after all rounds; ``doc_starts`` are the positions at which a text begins."""
     end = len(codes)
-    begins = np.zeros(len(codes), dtype=bool)
+    begins = np.zeros(end, dtype=bool)
     begins[doc_starts[doc_starts < end]] = True
-    for level in range(rounds):
-        if len(names) < 2:
-            break
-        # Runs: equal neighbours of one text, unless the run is longer than a symbol may be.
-        same = (names[1:] == names[:-1]) & ~begins[1:]
-        if same.any():
-            head = np.flatnonzero(np.concatenate([[True], ~same]))
-            length = np.diff(np.concatenate([head, [len(names)]]))
-            stop = np.concatenate([at[head[1:]], [end]])
-            short = (stop - at[head]) <= max_span
-            keep = np.ones(len(names), dtype=bool)
-            joined = short & (length > 1)
-            keep[1:] = ~(same & np.repeat(joined, length)[1:])
-            renamed = names.copy()
-            renamed[head[joined]] = _mix(names[head[joined]] * _M3 + length[joined].astype(np.uint64))
-            names, at, begins = renamed[keep], at[keep], begins[keep]
+    names, at = _mix(codes.astype(np.uint64) + _M3), np.arange(end, dtype=np.int64)
+    # Runs of one character; longer ones than the cap stay single characters.
+    same = (codes[1:] == codes[:-1]) & ~begins[1:]
+    if same.any():
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        length = np.diff(np.concatenate([head, [end]]))
+        joined = (length > 1) & (length <= RUN_CAP)
+        keep = np.ones(end, dtype=bool)
+        keep[1:] = ~(same & np.repeat(joined, length)[1:])
+        names[head[joined]] = _mix(names[head[joined]] * _M3 + length[joined].astype(np.uint64))
+        names, at, begins = names[keep], at[keep], begins[keep]
+    for level, cap in enumerate(CAPS):
         if len(names) < 2:
             break
-        right = (names >> np.uint64(7 + 5 * (level % 11))) & np.uint64(1) == 1
-        stop = np.concatenate([at[2:], [end]])
-        pair = ~right[:-1] & right[1:] & ~begins[1:] & (stop - at[:-1] <= max_span)
+        right = (names >> np.uint64(7 + 5 * level)) & np.uint64(1) == 1
+        pair = ~right[:-1] & right[1:] & ~begins[1:]
         first = np.flatnonzero(pair)
-        fresh = _mix(names[first] * _M1 + names[first + 1] * _M3 + np.uint64(level + 1))
+        stop = np.append(at, end)
+        first = first[stop[first + 2] - at[first] <= cap]
+        names[first] = _mix(names[first] * _M1 + names[first + 1] * _M3 + np.uint64(level + 1))
         keep = np.ones(len(names), dtype=bool)
         keep[first + 1] = False
-        names[first] = fresh
         names, at, begins = names[keep], at[keep], begins[keep]
     return names, at
 
 
-def _anchors(names: np.ndarray, at: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the symbols that are least in some window of neighbours of their text."""
+def _anchors(names: np.ndarray, at: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
+    """Indices of the borders whose symbol has the least name in some window of ``WINDOW_CHARS`` characters of their text."""
     n = len(names)
-    if n < window:
-        return at
-    views = np.lib.stride_tricks.sliding_window_view(names, window)
-    least = np.arange(n - window + 1) + views.argmin(axis=1)
-    inside = owner[window - 1 :] == owner[: n - window + 1]
+    stop = np.searchsorted(at, at + WINDOW_CHARS)
+    whole = np.flatnonzero(at + WINDOW_CHARS <= doc_end)
+    if not len(whole):
+        return whole
+    # The index is packed below the name: the least is found with its place, the first one of equal names.
+    bits = np.uint64(max(INDEX_BITS, n.bit_length()))
+    least = (names >> bits << bits) | np.arange(n, dtype=np.uint64)
+    first, last = whole, stop[whole]
+    power = np.frexp((last - first).astype(np.float64))[1] - 1
+    found = np.empty(len(whole), dtype=np.uint64)
+    for k in range(int(power.max()) + 1):
+        own = power == k
+        found[own] = np.minimum(least[first[own]], least[last[own] - (1 << k)])
+        if len(least) > 1 << k:
+            least = np.minimum(least[: -(1 << k)], least[1 << k :])
+    place = (found & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     chosen = np.zeros(n, dtype=bool)
-    chosen[least[inside]] = True
-    return at[chosen]
+    chosen[place] = True
+    return np.flatnonzero(chosen)
 
 
-def _window_hashes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of ``codes[p : p + length]`` for the positions ``at`` (all fit), by prefix polynomials modulo 2**64."""
-    powers, back = _powers(1 << max(16, len(codes).bit_length()))
-    # sum of code * base**i up to each position; dividing by base**p is multiplying by the inverse's power.
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + _M3) * _M1 * powers[: len(codes)], dtype=np.uint64, out=sums[1:])
-    return _mix((sums[at + length] - sums[at]) * back[at])
+def _sequence_names(names: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Names of the sequences of symbols ``names[first:last]``, by prefix polynomials modulo 2**64."""
+    powers, back = _powers(1 << max(16, len(names).bit_length()))
+    # sum of name * base**i up to each symbol; dividing by base**p is multiplying by the inverse's power.
+    sums = np.zeros(len(names) + 1, dtype=np.uint64)
+    np.cumsum(names * powers[: len(names)], dtype=np.uint64, out=sums[1:])
+    return _mix((sums[last] - sums[first]) * back[first])
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,7 +164,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(name, doc, at) of every anchor of (doc, text)."""
+    """(name, doc, at) of every high-level symbol of (doc, text)."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,13 +174,14 @@ def anchor_table(docs: DataFrame) -> DataFrame:
                 codes, starts = _code_points(texts[low:high])
                 names, at = recompress(codes, starts[:-1])
                 owner = np.searchsorted(starts, at, side="right") - 1
-                chosen = _anchors(names, at, owner, WINDOW)
-                own = np.searchsorted(starts, chosen, side="right") - 1
-                fits = chosen + KEY_CHARS <= starts[own + 1]
-                chosen, own = chosen[fits], own[fits]
-                keys = _window_hashes(codes, chosen, KEY_CHARS)
+                doc_end = starts[owner + 1]
+                chosen = _anchors(names, at, doc_end)
+                chosen = chosen[at[chosen] + KEY_CHARS <= doc_end[chosen]]
+                last = np.searchsorted(at, at[chosen] + KEY_CHARS)
+                keys = _sequence_names(names, chosen, last)
+                own = owner[chosen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(ids[low:high][own]), pa.array((chosen - starts[own]).astype(np.int32))], names=["name", "doc", "at"]
+                    [pa.array(keys.view(np.int64)), pa.array(ids[low:high][own]), pa.array((at[chosen] - starts[own]).astype(np.int32))], names=["name", "doc", "at"]
                 )
 
     return docs.select("doc", "text").mapInArrow(anchors, "name long, doc long, at int")
@@ -170,7 +206,7 @@ def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_names(anchors: DataFrame) -> DataFrame:
-    """(name, doc, at, docs): the anchors whose name several documents have; one pass over the sorted names."""
+    """(name, doc, at, times): the symbols that several documents have, with their occurrences; one pass over the sorted names."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
@@ -192,11 +228,11 @@ def _shared_names(anchors: DataFrame) -> DataFrame:
             many = np.repeat(docs > 1, length)
             if many.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[many]), pa.array(doc[many]), pa.array(at[many]), pa.array(np.repeat(docs, length)[many])], names=["name", "doc", "at", "docs"]
+                    [pa.array(name[many]), pa.array(doc[many]), pa.array(at[many]), pa.array(np.repeat(length, length)[many])], names=["name", "doc", "at", "times"]
                 )
 
     ordered = anchors.repartition(F.col("name")).sortWithinPartitions("name", "doc", "at")
-    return ordered.mapInArrow(groups, "name long, doc long, at int, docs long")
+    return ordered.mapInArrow(groups, "name long, doc long, at int, times long")
 
 
 def _then_none(items: Iterator) -> Iterator:
@@ -204,41 +240,52 @@ def _then_none(items: Iterator) -> Iterator:
     yield None
 
 
-def _with_context(shared: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
-    """Add what stands left and right of each shared anchor, as far as a repeat through it could need."""
+def _chains(shared: DataFrame) -> DataFrame:
+    """(name, doc, first, last, times): symbols that always occur together become one.
+
+    The pair of a symbol and the next one of its document, if they overlap or
+    touch, is named by both and their distance. Where the pair has as many
+    occurrences as its left and its right part, neither ever occurs without the
+    other, so what is compared through one is compared through the pair.
+    """
+    following = "OVER (PARTITION BY doc ORDER BY at, name)"
+    paired = shared.select("*", F.expr(f"lead(name) {following}").alias("_n"), F.expr(f"lead(at) {following}").alias("_a"), F.expr(f"lead(times) {following}").alias("_t"))
+    near = (F.col("_a") - F.col("at") <= KEY_CHARS) & (F.col("_a") > F.col("at"))
+    paired = materialise(paired.withColumn("_pair", F.when(near & (F.col("times") == F.col("_t")), F.xxhash64("name", "_n", F.col("_a") - F.col("at")))), "paired")
+    counted = paired.where("_pair IS NOT NULL").groupBy("_pair").agg(F.count("*").alias("_k"), F.first("times").alias("_t"))
+    tight = counted.where("_k = _t").select("_pair", F.lit(True).alias("_tight"))
+    linked = paired.join(broadcast_if_small(tight), "_pair", "left")
+    broken = F.expr("CASE WHEN lag(_tight) OVER (PARTITION BY doc ORDER BY at, name) THEN 0 ELSE 1 END")
+    numbered = linked.select("name", "doc", "at", "times", broken.alias("_new"))
+    numbered = numbered.withColumn("_chain", F.expr("sum(_new) OVER (PARTITION BY doc ORDER BY at, name)"))
+    return numbered.groupBy("doc", "_chain").agg(F.min_by("name", "at").alias("name"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("times").alias("times")).drop("_chain")
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-32-le", "surrogatepass"))
+
+
+def _with_places(chains: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, text, places) of the documents that hold any of ``chains``."""
+    places = chains.groupBy("doc").agg(F.collect_list(F.struct("name", "first", "last")).alias("places"))
+    return docs.join(broadcast_if_small(places), "doc").select("doc", "text", "places")
+
+
+def _with_context(cold: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+    """Add what stands left and right of each symbol, as far as a repeat through it could need, and a digest of what is between."""
     reach = min_chars - KEY_CHARS
-    places = shared.groupBy("doc").agg(F.collect_list(F.struct("name", "at", "docs")).alias("places"))
-    small = shared.limit(PLACES_BROADCAST + 1).count() <= PLACES_BROADCAST
-    joined = docs.join(F.broadcast(places) if small else places, "doc")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, text, places in zip(frame["doc"], frame["text"], frame["places"], strict=True):
                 for place in places:
-                    at = place["at"]
-                    rows.append((place["name"], doc, at, place["docs"], text[max(0, at - reach) : at], text[at : at + KEY_CHARS + reach]))
-            yield pd.DataFrame(rows, columns=["name", "doc", "at", "docs", "before", "after"])
-
-    return joined.select("doc", "text", "places").mapInPandas(cut, "name long, doc long, at int, docs long, before string, after string")
-
-
-def _divided(rows: DataFrame, min_chars: int) -> DataFrame:
-    """Names of many documents, divided by the grid of extents; others keep their name.
+                    first, last = place["first"], place["last"]
+                    rows.append((place["name"], doc, first, last, _digest(text[first:last]), text[max(0, first - reach) : first], text[last : last + KEY_CHARS + reach]))
+            yield pd.DataFrame(rows, columns=["name", "doc", "first", "last", "inner", "before", "after"])
 
-    Two places that agree on l characters to the left and r to the right, with
-    l + r >= reach, agree on the grid value g = l rounded down to ``GRID`` at the
-    left and on reach - g - GRID at the right: they meet under one of the names.
-    """
-    reach = min_chars - KEY_CHARS
-    cold = rows.where(F.col("docs") <= COLD).drop("docs")
-    hot = rows.where(F.col("docs") > COLD)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(reach), F.lit(GRID)))
-    hot = hot.select("*", steps.alias("g")).withColumn("need", F.greatest(F.lit(0), F.lit(reach - GRID) - F.col("g")))
-    hot = hot.where((F.length("before") >= F.col("g")) & (F.length("after") >= F.col("need") + KEY_CHARS))
-    left = F.when(F.col("g") > 0, F.expr("substring(before, length(before) - g + 1, g)")).otherwise("")
-    named = F.xxhash64("name", "g", left, F.expr(f"substring(after, 1, {KEY_CHARS} + need)"))
-    return cold.unionByName(hot.select(named.alias("name"), "doc", "at", "before", "after"))
+    schema = "name long, doc long, first int, last int, inner binary, before string, after string"
+    return _with_places(cold, docs).mapInPandas(cut, schema)
 
 
 def _agree(a: str, b: str, from_end: bool = False) -> int:
@@ -255,8 +302,8 @@ def _agree(a: str, b: str, from_end: bool = False) -> int:
     return low
 
 
-def verified_pairs(rows: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_a, doc_b, start_a, end_a, start_b, end_b) of verified repeats through a common name."""
+def _cold_repeats(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_a, doc_b, start_a, end_a, start_b, end_b) of verified repeats through a symbol of few occurrences."""
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
@@ -270,64 +317,123 @@ def verified_pairs(rows: DataFrame, min_chars: int) -> DataFrame:
             if now is None or not len(now):
                 continue
             out = []
-            for _, group in now.groupby("name", sort=False):
-                rows = list(zip(group["doc"], group["at"], group["before"], group["after"], strict=True))
-                for i, (doc_i, at_i, before_i, after_i) in enumerate(rows):
-                    for doc_j, at_j, before_j, after_j in rows[i + 1 :]:
-                        if doc_i == doc_j:
-                            continue
-                        right = _agree(after_i, after_j)
-                        if right < KEY_CHARS:
-                            continue
-                        left = _agree(before_i, before_j, True)
-                        if left + right >= min_chars:
-                            a, b = (at_i - left, at_i + right), (at_j - left, at_j + right)
-                            out.append((doc_i, doc_j, *a, *b) if doc_i < doc_j else (doc_j, doc_i, *b, *a))
+            rows = list(zip(*(now[c] for c in ("name", "doc", "first", "last", "inner", "before", "after")), strict=True))
+            for i, (name, doc_i, first_i, last_i, inner_i, before_i, after_i) in enumerate(rows):
+                for other, doc_j, first_j, last_j, inner_j, before_j, after_j in rows[i + 1 :]:
+                    if other != name:
+                        break
+                    if doc_i == doc_j or inner_i != inner_j:
+                        continue
+                    right = _agree(after_i, after_j)
+                    left = _agree(before_i, before_j, True) if right >= KEY_CHARS else 0
+                    if right >= KEY_CHARS and left + last_i - first_i + right >= min_chars:
+                        a, b = (first_i - left, last_i + right), (first_j - left, last_j + right)
+                        out.append((doc_i, doc_j, *a, *b) if doc_i < doc_j else (doc_j, doc_i, *b, *a))
             yield pd.DataFrame(out, columns=["doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b"])
 
     ordered = rows.repartition(F.col("name")).sortWithinPartitions("name")
     return ordered.mapInPandas(verify, "doc_a long, doc_b long, start_a int, end_a int, start_b int, end_b int")
 
 
+def _hot_windows(hot: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
+    """(window, doc, start, prev): every stretch of ``min_chars`` characters that holds a symbol of many occurrences.
+
+    ``prev`` is the character before it, and -1 where the stretch one character
+    to the left is not listed.
+    """
+
+    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, text, places in zip(frame["doc"], frame["text"], frame["places"], strict=True):
+                coded = text.encode("utf-32-le", "surrogatepass")
+                listed: set[int] = set()
+                for place in places:
+                    listed.update(range(max(0, place["first"] + KEY_CHARS - min_chars), min(place["last"], len(text) - min_chars) + 1))
+                for start in sorted(listed):
+                    rows.append((xxhash.xxh3_128_digest(coded[4 * start : 4 * (start + min_chars)]), doc, start, ord(text[start - 1]) if start - 1 in listed else -1))
+            yield pd.DataFrame(rows, columns=["window", "doc", "start", "prev"])
+
+    return _with_places(hot, docs).mapInPandas(spell, "window binary, doc long, start int, prev int")
+
+
+def _met(rows: DataFrame, key: str, doc: str, size: str, wanted: Column | None = None, *extra: str) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: documents with one ``key``, in blocks of about ``BLOCK``; no task holds a key's documents."""
+    blocks = F.ceil(F.col(size) / BLOCK)
+    placed = rows.withColumn("_b", F.pmod(F.xxhash64(doc), blocks)).withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    placed = placed.select(key, doc, *extra, "_b", F.least("_b", "_x").alias("_p"), F.greatest("_b", "_x").alias("_q"))
+    names = {c: f"_other_{c}" for c in (doc, "_b", *extra)}
+    other = placed.select(key, "_p", "_q", *[F.col(c).alias(n) for c, n in names.items()])
+    met = placed.join(other, [key, "_p", "_q"]).where((F.col(doc) < F.col(names[doc])) & ((F.col("_p") == F.col("_q")) | (F.col("_b") != F.col(names["_b"]))))
+    if wanted is not None:
+        met = met.where(wanted)
+    return met.select(F.col(doc).alias("doc_a"), F.col(names[doc]).alias("doc_b"))
+
+
+def _hot_pairs(windows: DataFrame) -> DataFrame:
+    """Documents that share a window, met at the first of the windows they share in a row."""
+    once = windows.groupBy("window", "doc").agg(F.when(F.count("*") == 1, F.first("prev")).otherwise(F.lit(-1)).alias("prev"))
+    once = materialise(once, "once")
+    sizes = once.groupBy("window").agg(F.count("*").alias("n"), F.min("prev").alias("low"), F.max("prev").alias("high")).where("n > 1 AND (low = -1 OR low <> high)").select("window", "n")
+    rows = once.join(broadcast_if_small(sizes), "window")
+    return _met(rows, "window", "doc", "n", F.expr("prev <> _other_prev OR prev = -1 OR _other_prev = -1"), "prev").distinct()
+
+
 def equal_texts(documents: DataFrame, ident: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(one document a class as (doc, text), members as (doc, member)); texts shorter than ``min_chars`` are left out."""
     long = documents.where((F.length(text) >= min_chars) & F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("member"), F.col(text).alias("text"))
     keyed = long.select("member", F.xxhash64("text").alias("_h"), F.xxhash64(F.reverse("text"), F.length("text")).alias("_g"))
     heads = keyed.groupBy("_h", "_g").agg(F.min("member").alias("doc"), F.count("*").alias("_n"))
     several = heads.where("_n > 1").select("_h", "_g", "doc")
-    members = materialise(keyed.join(several, ["_h", "_g"]).select("doc", "member"), "members")
+    members = materialise(keyed.join(several, ["_h", "_g"]).select("doc", "member").distinct(), "members")
     extra = members.where("doc <> member").select("member")
-    few = extra.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    docs = long.join(F.broadcast(extra) if few else extra, "member", "left_anti").select(F.col("member").alias("doc"), "text")
+    docs = long.join(broadcast_if_small(extra), "member", "left_anti").select(F.col("member").alias("doc"), "text")
     return docs, members
 
 
-def class_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Verified repeats between documents of different text."""
+def class_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(verified repeats through symbols of few occurrences, windows that hold the other ones) of documents of different text."""
+    if min_chars < MIN_CHARS:
+        raise ValueError(f"spans of less than {MIN_CHARS} characters need shorter names")
     shared = materialise(_shared_names(anchor_table(docs)), "shared")
-    return verified_pairs(_divided(_with_context(shared, docs, min_chars), min_chars), min_chars)
+    chains = materialise(_chains(shared), "chains")
+    cold = _cold_repeats(_with_context(chains.where(F.col("times") <= COLD), docs, min_chars), min_chars)
+    return cold, _hot_windows(chains.where(F.col("times") > COLD), docs, min_chars)
 
 
-def repeated_pairs(documents: DataFrame, ident: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents that share a span of at least ``min_chars`` characters."""
+def representative_pairs(documents: DataFrame, ident: str, text: str, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """((doc_a, doc_b) between representatives of different text that share a span, (doc, member) of the classes of equal texts)."""
     docs, members = equal_texts(documents, ident, text, min_chars)
-    pairs = materialise(class_repeats(docs, min_chars).select("doc_a", "doc_b").distinct(), "pairs")
-    inside = members.select("doc", F.col("member").alias("doc_a")).join(members.select("doc", F.col("member").alias("doc_b")), "doc").where("doc_a < doc_b")
-    a = members.select(F.col("doc").alias("doc_a"), F.col("member").alias("_a"))
-    b = members.select(F.col("doc").alias("doc_b"), F.col("member").alias("_b"))
+    cold, windows = class_repeats(docs, min_chars)
+    return materialise(cold.select("doc_a", "doc_b").unionByName(_hot_pairs(windows)).distinct(), "pairs"), members
+
+
+def repeated_pairs(documents: DataFrame, ident: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: all documents that share a span of at least ``min_chars`` characters, copies included."""
+    pairs, members = representative_pairs(documents, ident, text, min_chars)
+    sized = members.join(broadcast_if_small(members.groupBy("doc").agg(F.count("*").alias("_n"))), "doc")
+    inside = _met(sized, "doc", "member", "_n")
+    a = broadcast_if_small(members.select(F.col("doc").alias("doc_a"), F.col("member").alias("_a")))
+    b = broadcast_if_small(members.select(F.col("doc").alias("doc_b"), F.col("member").alias("_b")))
     full = pairs.join(a, "doc_a", "left").join(b, "doc_b", "left").select(F.coalesce("_a", "doc_a").alias("x"), F.coalesce("_b", "doc_b").alias("y"))
     full = full.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-    return full.unionByName(inside.select("doc_a", "doc_b")).distinct()
+    return full.unionByName(inside).distinct()
 
 
 def shared_spans(documents: DataFrame, ident: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, inicio, fin): the spans of each document that occur elsewhere, merged; of equal texts all is shared."""
     docs, members = equal_texts(documents, ident, text, min_chars)
-    repeats = materialise(class_repeats(docs, min_chars), "repeats")
+    cold, windows = class_repeats(docs, min_chars)
+    repeats = materialise(cold, "repeats")
     spans = repeats.select(F.col("doc_a").alias("doc"), F.col("start_a").alias("inicio"), F.col("end_a").alias("fin")).unionByName(
         repeats.select(F.col("doc_b").alias("doc"), F.col("start_b").alias("inicio"), F.col("end_b").alias("fin"))
     )
-    whole = members.join(documents.select(F.col(ident).alias("member"), F.length(text).alias("fin")), "member").select(F.col("member").alias("doc"), F.lit(0).alias("inicio"), "fin")
+    windows = materialise(windows, "windows")
+    several = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("window")
+    hot = windows.join(broadcast_if_small(several), "window", "left_semi").select("doc", F.col("start").alias("inicio"), (F.col("start") + min_chars).alias("fin"))
+    whole = members.join(documents.select(F.col(ident).cast("long").alias("member"), F.length(text).alias("fin")), "member").select(F.col("member").alias("doc"), F.lit(0).alias("inicio"), "fin")
+    spans = spans.unionByName(hot).distinct()
+    # The spans of a representative are those of its copies; these share all of their text anyway.
     spans = spans.unionByName(whole).distinct()
     return spans.groupBy("doc").applyInPandas(_merge_spans, "doc long, inicio int, fin int")
 

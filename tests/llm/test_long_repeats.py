@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from tamiz.llm.long_repeats import _agree, recompress, repeated_pairs, shared_spans
+from tamiz.llm.long_repeats import KEY_CHARS, _agree, _anchors, recompress, repeated_pairs, representative_pairs, shared_spans
 
 
 def text(r, n):
@@ -48,6 +48,57 @@ def test_hot_names_against_brute_force(spark, monkeypatch):
     assert {tuple(x) for x in repeated_pairs(df, "doc_id", "text").collect()} == brute(docs, 300)
 
 
+def test_binary_texts_against_brute_force(spark):
+    # Every 300 characters that two texts of two letters have in common are found, wherever they stand.
+    r = random.Random(11)
+    docs = []
+    for i in range(150):
+        span = "".join(r.choice("01") for _ in range(r.choice([299, 300, 300, 301])))
+        for k in range(2):
+            docs.append((2 * i + k, "".join(r.choice("01") for _ in range(r.randint(0, 200))) + span + "".join(r.choice("01") for _ in range(r.randint(0, 200)))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(x) for x in repeated_pairs(df, "doc_id", "text").collect()} == brute(docs, 300)
+
+
+def test_any_two_equal_substrings_have_an_anchor():
+    r = random.Random(13)
+    makers = [lambda: text(r, 300), lambda: "".join(r.choice("01") for _ in range(300)), lambda: ("ab" * 200)[:300], lambda: "z" * 300, lambda: ("0" * r.randint(1, 9) + "1") * 300, lambda: "".join(c * r.randint(1, 7) for c in text(r, 300))]
+    for _ in range(200):
+        inner = r.choice(makers)()[:300]
+        held = []
+        for _ in range(2):
+            left, right = (r.choice(makers)()[: r.randint(0, 200)] for _ in range(2))
+            codes = np.array([ord(c) for c in left + inner + right], dtype=np.uint32)
+            names, at = recompress(codes, np.array([0]))
+            chosen = _anchors(names, at, np.full(len(at), len(codes)))
+            held.append({int(at[x]) - len(left) for x in chosen if 0 <= at[x] - len(left) <= 300 - KEY_CHARS})
+        assert held[0] & held[1]
+
+
+def test_one_notice_in_many_documents(spark):
+    r = random.Random(17)
+    notice = text(r, 330)
+    docs = [(i, f"{i:05d}" * 3 + notice + f"{i:05d}" * 3) for i in range(10_000)] + [(20_000, text(r, 600))]
+    spans = shared_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    # The last or first digits around the notice are shared with others too.
+    rows = spans.selectExpr("count(*) AS n", "count(DISTINCT doc) AS docs", "max(inicio) AS a", "min(fin) AS b").first()
+    assert rows.n == rows.docs == 10_000 and rows.a <= 15 and rows.b >= 345
+    few = docs[:700]
+    pairs = repeated_pairs(spark.createDataFrame(few, "doc_id long, text string"), "doc_id", "text")
+    assert pairs.count() == pairs.distinct().count() == 700 * 699 // 2
+
+
+def test_representatives_and_members(spark):
+    r = random.Random(19)
+    one, other = text(r, 500), text(r, 400)
+    docs = [(i, one) for i in range(4)] + [(10 + i, one + other) for i in range(3)] + [(20, other)]
+    pairs, members = representative_pairs(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    assert {tuple(x) for x in pairs.collect()} == {(0, 10), (10, 20)}
+    assert {tuple(x) for x in members.collect()} == {(0, i) for i in range(4)} | {(10, 10 + i) for i in range(3)}
+    found = repeated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    assert {tuple(x) for x in found.collect()} == brute(docs, 300)
+
+
 def test_spans(spark):
     r = random.Random(2)
     shared = text(r, 700)
