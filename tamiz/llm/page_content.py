@@ -4,13 +4,14 @@ Each page is read once by a streaming parser (``html.parser`` of the standard
 library): block-level tags end a line, every tag event is counted on its line,
 scripts and styles are skipped. Texts that reached us already without markup
 keep their line structure, and what the markup has left behind counts in its
-place: separators between labels, list marks before a headline, a wording that
-addresses the reader, or a line that is no finished sentence. Every line so
-gets a text-to-tag ratio: its words over its tag events.
+place: a line that recurs among the pages of its source (its template), separators
+between labels, list marks before a headline, a line that is no finished
+sentence, and, as a weak sign beside these, a known wording that addresses the
+reader. Every line so gets a text-to-tag ratio: its words over its tag events.
 
 Logarithms of the ratios are smoothed with a Gaussian over neighbouring lines
 (blank lines and advertising set between paragraphs left aside) and split in two
-clusters by a threshold between their means. Lines of plain evidence keep their
+clusters a page by 2-means, the threshold lying between the page's own means. Lines of plain evidence keep their
 side; the smoothed cluster decides all others, so that a crosshead between two
 paragraphs stays and a bare headline in a list of links goes.
 
@@ -27,13 +28,20 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.line_blocks import MIN_DOCS, line_identifiers
+from tamiz.session import broadcast_if_small, materialise
+
 SIGMA = 1.0
 RADIUS = 2
-#: Bounds between which the cluster threshold must lie (log1p of words a tag).
-THRESHOLD_RANGE = (1.3, 1.4)
+#: Means of the two clusters (log1p of words a tag, smoothed) from which a page's own ones are told, and the lines they weigh as.
+HIGH_PRIOR, LOW_PRIOR, PRIOR = 2.4, 0.4, 1.0
+#: Share of a source's documents that a line of its template is in, at least.
+RECURRING = 0.001
+#: Steps of 2-means.
+STEPS = 2
 
 # Labels of the sections of a news site.
 SECTIONS = [
@@ -188,40 +196,85 @@ def _evidence(line: str, tags: int) -> tuple[float, int]:
     return float(np.log1p(ratio)), OPEN if bare else OUT
 
 
-def furniture_flags(pages: list[str | None], sites: list[str | None] | None = None) -> list[np.ndarray]:
-    """For each page, a mask over its lines: true where a non-blank line is furniture."""
-    values: list[float] = []
-    sides: list[int] = []
-    owner: list[int] = []
-    number: list[int] = []
-    sizes: list[int] = []
-    for k, page in enumerate(pages):
-        if not page:
-            sizes.append(0)
-            continue
-        site = _SPACES.sub(" ", sites[k]).strip().lower() if sites and sites[k] else None
-        sizes.append(page.count("\n") + 1)
-        for text, tags, i in page_lines(page):
-            bare = text.strip()
-            if not bare:
+class _Pieces:
+    """The non-blank pieces of the lines of some pages, and which of them belong to the article."""
+
+    def __init__(self, pages: list[str | None], sites: list[str | None] | None, recurring: list | None):
+        self.texts: list[str] = []
+        values: list[float] = []
+        sides: list[int] = []
+        self.owner: list[int] = []
+        self.number: list[int] = []
+        template: list[bool] = []
+        for k, page in enumerate(pages):
+            if not page:
                 continue
-            value, side = _evidence(bare, tags)
-            if site and side != OUT and len(bare) < len(site) + 40 and site in _SPACES.sub(" ", bare).lower() and not _END.search(bare):
-                value, side = 0.0, OUT
-            values.append(value)
-            sides.append(side)
-            owner.append(k)
-            number.append(i)
-    v, side, own = np.array(values), np.array(sides, dtype=np.int8), np.array(owner, dtype=np.int64)
-    content = _content(v, side, own)
+            site = _SPACES.sub(" ", sites[k]).strip().lower() if sites and sites[k] else None
+            again = set(recurring[k]) if recurring and recurring[k] is not None else ()
+            for text, tags, i in page_lines(page):
+                bare = text.strip()
+                if not bare:
+                    continue
+                value, side = _evidence(bare, tags)
+                if site and side != OUT and len(bare) < len(site) + 40 and site in _SPACES.sub(" ", bare).lower() and not _END.search(bare):
+                    value, side = 0.0, OUT
+                if i in again and side not in (OUT, BETWEEN):
+                    # What recurs among the pages of a site is its template: it weighs as a tag a word.
+                    value, side = float(np.log1p(0.5)), OUT
+                template.append(i in again)
+                self.texts.append(bare)
+                values.append(value)
+                sides.append(side)
+                self.owner.append(k)
+                self.number.append(i)
+        side, own = np.array(sides, dtype=np.int8), np.array(self.owner, dtype=np.int64)
+        self.inside = _content(np.array(values), _set_between(side, own, np.array(template, dtype=bool)), own)
+
+
+def _set_between(side: np.ndarray, own: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Lines of the template that stand alone between two paragraphs are set between them."""
+    if len(side) < 3:
+        return side
+    side = side.copy()
+    alone = template[1:-1] & (side[1:-1] == OUT) & (side[:-2] == IN) & (side[2:] == IN) & (own[:-2] == own[2:])
+    side[1:-1][alone] = BETWEEN
+    return side
+
+
+def furniture_flags(pages: list[str | None], sites: list[str | None] | None = None, recurring: list | None = None) -> list[np.ndarray]:
+    """For each page, a mask over its lines: true where a non-blank line is furniture.
+
+    ``recurring`` holds for each page the numbers of the lines that many pages of its site have.
+    """
+    pieces = _Pieces(pages, sites, recurring)
+    sizes = [page.count("\n") + 1 if page else 0 for page in pages]
     # A source line that markup has cut into several is furniture if all its pieces are.
     seen, kept = [np.zeros(n, dtype=bool) for n in sizes], [np.zeros(n, dtype=bool) for n in sizes]
-    for k, i, inside in zip(owner, number, content, strict=True):
+    for k, i, inside in zip(pieces.owner, pieces.number, pieces.inside, strict=True):
         seen[k][i - 1] = True
         kept[k][i - 1] |= inside
     return [a & ~b for a, b in zip(seen, kept, strict=True)]
 
 
+def _thresholds(smooth: np.ndarray, page: np.ndarray, plain_in: np.ndarray, plain_out: np.ndarray) -> np.ndarray:
+    """The value between the two clusters of each page's smoothed ratios, by 2-means.
+
+    The means start from the lines of plain evidence. A page that has them on one
+    side only starts from the mean of the other side over all pages at hand,
+    ``PRIOR`` lines' worth of which stands in for it, and so does a small cluster.
+    """
+    n = int(page.max()) + 1 if len(page) else 0
+
+    def means(lines: np.ndarray, prior: float) -> np.ndarray:
+        return (np.bincount(page[lines], smooth[lines], n) + PRIOR * prior) / (np.bincount(page[lines], minlength=n) + PRIOR)
+
+    high, low = means(plain_in, HIGH_PRIOR), means(plain_out, LOW_PRIOR)
+    for _ in range(STEPS):
+        above = (smooth > ((high + low) / 2)[page] if n else np.zeros(0, bool)) & ~plain_out | plain_in
+        high, low = means(above, HIGH_PRIOR), means(~above, LOW_PRIOR)
+    return (high + low) / 2
+
+
 def _content(v: np.ndarray, side: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Mask of the lines that belong to the article."""
     content = side == IN
@@ -243,12 +296,8 @@ def _content(v: np.ndarray, side: np.ndarray, own: np.ndarray) -> np.ndarray:
         weight[: here.start] += w
         weight[here.stop :] += w
     smooth = total / weight.clip(min=1e-9)
-    # Two clusters a page, by one step of 2-means from the lines of plain evidence.
-    n = int(o.max()) + 1 if len(o) else 0
-    plain_in, plain_out = side[seen] == IN, side[seen] == OUT
-    high = np.bincount(o[plain_in], smooth[plain_in], n) / np.bincount(o[plain_in], minlength=n).clip(min=1)
-    low = np.bincount(o[plain_out], smooth[plain_out], n) / np.bincount(o[plain_out], minlength=n).clip(min=1)
-    threshold = np.clip((high + low) / 2, *THRESHOLD_RANGE)
+    plain_in = side[seen] == IN
+    threshold = _thresholds(smooth, o, plain_in, side[seen] == OUT)
     unclear = side[seen] == OPEN
     content[seen[unclear]] = smooth[unclear] > threshold[o[unclear]]
     # A page without furniture has one cluster: an open line beside a paragraph is its part.
@@ -279,37 +328,59 @@ def title_has_furniture(title: str | None, site: str | None, sites: frozenset[st
     return _TITLE_HEAD.match(title) is not None
 
 
-def furniture_lines(text: Column, title: Column, site: Column, sites: frozenset[str]) -> Column:
+def with_recurring(df: DataFrame, ident: str, text: str, source: Column, out: str, min_docs: int = MIN_DOCS, share: float = RECURRING) -> DataFrame:
+    """Add ``out``: the numbers of the lines of each text that recur among the documents of its source.
+
+    A line recurs in ``min_docs`` documents or more and in ``share`` of the
+    source's, so that a story told again makes no template of its lines at any size.
+    """
+    lines = materialise(line_identifiers(df, ident, text, source), "lines")
+    sizes = lines.groupBy("src").agg(F.count("*").alias("_n"))
+    counted = lines.select("src", F.explode(F.array_distinct("ids.key")).alias("key")).groupBy("src", "key").agg(F.count("*").alias("_k")).where(F.col("_k") >= min_docs)
+    often = counted.join(broadcast_if_small(sizes), "src").where(F.col("_k") >= share * F.col("_n")).select("src", "key")
+    each = lines.select("doc", "src", F.explode("ids").alias("_l")).select("doc", "src", F.col("_l.key").alias("key"), F.col("_l.linea").alias("linea"))
+    held = each.join(broadcast_if_small(often), ["src", "key"]).groupBy("doc").agg(F.collect_set("linea").alias(out))
+    held = held.withColumnRenamed("doc", "_held_doc")
+    return df.join(broadcast_if_small(materialise(held, "recurring")), df[ident].cast("long") == F.col("_held_doc"), "left").drop("_held_doc")
+
+
+def furniture_lines(text: Column, title: Column, site: Column, sites: frozenset[str], recurring: Column | None = None) -> Column:
     """Array of the numbers of furniture lines: 0 for the title, from 1 for lines of ``text``."""
 
     @F.pandas_udf("array<int>")
-    def found(texts: pd.Series, titles: pd.Series, names: pd.Series) -> pd.Series:
+    def found(texts: pd.Series, titles: pd.Series, names: pd.Series, again: pd.Series) -> pd.Series:
         out = []
-        for flags, title, name in zip(furniture_flags(texts.tolist(), names.tolist()), titles, names, strict=True):
+        for flags, title, name in zip(furniture_flags(texts.tolist(), names.tolist(), again.tolist()), titles, names, strict=True):
             numbers = (np.flatnonzero(flags) + 1).tolist()
             out.append([0, *numbers] if title_has_furniture(title, name, sites) else numbers)
         return pd.Series(out)
 
-    return found(text, title, site)
+    return found(text, title, site, _none_recur() if recurring is None else recurring)
 
 
-def article_of(pages: list[str | None]) -> list[list[str]]:
-    """The non-blank lines of each page's article, in order, without markup."""
-    out = []
-    for page, flags in zip(pages, furniture_flags(pages), strict=True):
-        out.append([text.strip() for text, _, i in page_lines(page) if text.strip() and not flags[i - 1]] if page else [])
+def article_of(pages: list[str | None], recurring: list | None = None) -> list[list[str]]:
+    """The non-blank lines of each page's article, in order, without markup (pieces of one source line by themselves)."""
+    out: list[list[str]] = [[] for _ in pages]
+    pieces = _Pieces(pages, None, recurring)
+    for k, text, inside in zip(pieces.owner, pieces.texts, pieces.inside, strict=True):
+        if inside:
+            out[k].append(text)
     return out
 
 
-def article_text(text: Column) -> Column:
+def _none_recur() -> Column:
+    return F.lit(None).cast("array<int>")
+
+
+def article_text(text: Column, recurring: Column | None = None) -> Column:
     """The article of each page as one string with its lines; null stays null."""
 
     @F.pandas_udf("string")
-    def article(texts: pd.Series) -> pd.Series:
+    def article(texts: pd.Series, again: pd.Series) -> pd.Series:
         pages = texts.tolist()
-        return pd.Series([None if p is None else "\n".join(x) for p, x in zip(pages, article_of(pages), strict=True)], dtype=object)
+        return pd.Series([None if p is None else "\n".join(x) for p, x in zip(pages, article_of(pages, again.tolist()), strict=True)], dtype=object)
 
-    return article(text)
+    return article(text, _none_recur() if recurring is None else recurring)
 
 
 def is_furniture_wording(line: str) -> bool:

@@ -41,14 +41,16 @@ def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ``cuerpo`` (and line 0, the title) that hold page furniture."""
     noticias, names = _with_site(spark, sf_dir, "pos", "cuerpo", "titulo")
-    lines = page_content.furniture_lines(F.col("cuerpo"), F.col("titulo"), F.col("_site"), names)
+    noticias = page_content.with_recurring(noticias, "pos", "cuerpo", F.col("_host"), "_again")
+    lines = page_content.furniture_lines(F.col("cuerpo"), F.col("titulo"), F.col("_site"), names, F.col("_again"))
     return noticias.select("pos", F.explode(lines).alias("linea")).distinct()
 
 
 def p2_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article of every page: its own lines, in order."""
     noticias, _ = _with_site(spark, sf_dir, "pos", "cuerpo")
-    return noticias.select("pos", page_content.article_text(F.col("cuerpo")).alias("articulo"))
+    noticias = page_content.with_recurring(noticias, "pos", "cuerpo", F.col("_host"), "_again")
+    return noticias.select("pos", page_content.article_text(F.col("cuerpo"), F.col("_again")).alias("articulo"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
