@@ -1,7 +1,7 @@
 """Find passages of held-out test items in a corpus, and the items that leaked.
 
-The test items are a fixed, bounded set: their inverted index (BM25 weights in
-blocks with a maximum for each block) is broadcast, and *every* passage of every
+The test items are dealt to blocks of bounded size: their inverted index (BM25 weights in
+blocks of postings with a maximum for each) is broadcast, and *every* passage of every
 document is a query against it. Retrieval is complete by its thresholds: each
 item is cut into windows of ``MIN_WORDS`` words, the item's threshold is the least
 BM25 score that any of its windows gives the item, so a passage that holds any
@@ -25,17 +25,19 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MIN_WORDS = 12
 K1, B = 1.2, 0.75
 #: Postings of one block of the index.
 BLOCK = 16
-#: The set of test items must stay this small to be broadcast as a whole.
-MAX_ITEMS = 200_000
+#: Items of one block; each block is an index of its own, which is broadcast.
+BLOCK_ITEMS = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -242,10 +244,15 @@ def leaked_items(documents: DataFrame, ident: str, text: str, items: DataFrame,
     ``palabras`` is the length of the longest run of words counted in windows of
     the item, ``pregunta`` the share of the question's words in the document.
     """
-    rows = items.select(item_id, item_text, question).where(f"{item_id} IS NOT NULL").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items; search them in parts")
-    index = documents.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in rows], min_words))
+    items = items.select(item_id, item_text, question).where(f"{item_id} IS NOT NULL")
+    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    parts = [items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b).collect() for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [_leaked_of(documents, ident, text, [tuple(r) for r in part], min_words) for part in parts])
+
+
+def _leaked_of(documents: DataFrame, ident: str, text: str, rows: list[tuple], min_words: int) -> DataFrame:
+    """:func:`leaked_items` for the items (id, text, question) of one block."""
+    index = documents.sparkSession.sparkContext.broadcast(ItemIndex(rows, min_words))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = index.value

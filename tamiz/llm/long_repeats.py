@@ -43,9 +43,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.pairs import met
 from tamiz.session import broadcast_if_small, materialise
 
 MIN_CHARS = 300
@@ -57,8 +58,6 @@ KEY_CHARS, WINDOW_CHARS = 128, 80
 INDEX_BITS = 22
 #: Occurrences of one name that are compared each with each.
 COLD = 24
-#: Documents of one block, where the documents of a window meet.
-BLOCK = 512
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -357,26 +356,14 @@ def _hot_windows(hot: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
     return _with_places(hot, docs).mapInPandas(spell, "window binary, doc long, start int, prev int")
 
 
-def _met(rows: DataFrame, key: str, doc: str, size: str, wanted: Column | None = None, *extra: str) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents with one ``key``, in blocks of about ``BLOCK``; no task holds a key's documents."""
-    blocks = F.ceil(F.col(size) / BLOCK)
-    placed = rows.withColumn("_b", F.pmod(F.xxhash64(doc), blocks)).withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = placed.select(key, doc, *extra, "_b", F.least("_b", "_x").alias("_p"), F.greatest("_b", "_x").alias("_q"))
-    names = {c: f"_other_{c}" for c in (doc, "_b", *extra)}
-    other = placed.select(key, "_p", "_q", *[F.col(c).alias(n) for c, n in names.items()])
-    met = placed.join(other, [key, "_p", "_q"]).where((F.col(doc) < F.col(names[doc])) & ((F.col("_p") == F.col("_q")) | (F.col("_b") != F.col(names["_b"]))))
-    if wanted is not None:
-        met = met.where(wanted)
-    return met.select(F.col(doc).alias("doc_a"), F.col(names[doc]).alias("doc_b"))
-
-
 def _hot_pairs(windows: DataFrame) -> DataFrame:
     """Documents that share a window, met at the first of the windows they share in a row."""
     once = windows.groupBy("window", "doc").agg(F.when(F.count("*") == 1, F.first("prev")).otherwise(F.lit(-1)).alias("prev"))
     once = materialise(once, "once")
-    sizes = once.groupBy("window").agg(F.count("*").alias("n"), F.min("prev").alias("low"), F.max("prev").alias("high")).where("n > 1 AND (low = -1 OR low <> high)").select("window", "n")
-    rows = once.join(broadcast_if_small(sizes), "window")
-    return _met(rows, "window", "doc", "n", F.expr("prev <> _other_prev OR prev = -1 OR _other_prev = -1"), "prev").distinct()
+    ends = once.groupBy("window").agg(F.min("prev").alias("low"), F.max("prev").alias("high")).where("low = -1 OR low <> high").select("window")
+    rows = once.join(broadcast_if_small(ends), "window", "left_semi")
+    pairs = met(rows, "window", "doc", "doc < other_doc AND (prev <> other_prev OR prev = -1 OR other_prev = -1)", "prev")
+    return pairs.select(F.col("doc").alias("doc_a"), F.col("other_doc").alias("doc_b")).distinct()
 
 
 def equal_texts(documents: DataFrame, ident: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -411,8 +398,7 @@ def representative_pairs(documents: DataFrame, ident: str, text: str, min_chars:
 def repeated_pairs(documents: DataFrame, ident: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all documents that share a span of at least ``min_chars`` characters, copies included."""
     pairs, members = representative_pairs(documents, ident, text, min_chars)
-    sized = members.join(broadcast_if_small(members.groupBy("doc").agg(F.count("*").alias("_n"))), "doc")
-    inside = _met(sized, "doc", "member", "_n")
+    inside = met(members, "doc", "member", "member < other_member").select(F.col("member").alias("doc_a"), F.col("other_member").alias("doc_b"))
     a = broadcast_if_small(members.select(F.col("doc").alias("doc_a"), F.col("member").alias("_a")))
     b = broadcast_if_small(members.select(F.col("doc").alias("doc_b"), F.col("member").alias("_b")))
     full = pairs.join(a, "doc_a", "left").join(b, "doc_b", "left").select(F.coalesce("_a", "doc_a").alias("x"), F.coalesce("_b", "doc_b").alias("y"))

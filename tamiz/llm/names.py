@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.components import connected_components
+from tamiz.llm.pairs import met
 from tamiz.session import broadcast_if_small, materialise
 
 #: Least similarity of two tokens that are the same name mistyped, and most letters edited in a whole name.
@@ -298,9 +299,7 @@ def given_names(values: DataFrame, column: str) -> frozenset[str]:
 
 def name_pairs(df: DataFrame, column: str) -> DataFrame:
     """(autor_a, autor_b), autor_a < autor_b by bytes: the values of ``column`` that name the same single entity."""
-    members = name_clusters(df, column)
-    a, b = members.select("entidad", F.col("valor").alias("autor_a")), members.select("entidad", F.col("valor").alias("autor_b"))
-    return a.join(b, "entidad").where("autor_a < autor_b").select("autor_a", "autor_b").distinct()
+    return met(name_clusters(df, column).distinct(), "entidad", "valor", "valor < other_valor").toDF("autor_a", "autor_b").distinct()
 
 
 def name_clusters(df: DataFrame, column: str) -> DataFrame:
@@ -331,10 +330,9 @@ def name_clusters(df: DataFrame, column: str) -> DataFrame:
             out.append(same_entity(kind_x, rest_x.split("|"), kind_y, rest_y.split("|"), shared.value))
         return pd.Series(out, dtype=bool)
 
-    left = keyed.select("clave", F.col("forma").alias("a"), F.col("nivel").alias("na"))
-    right = keyed.select("clave", F.col("forma").alias("b"), F.col("nivel").alias("nb"))
-    met = left.join(right, "clave").where("a <> b AND (na > nb OR (na = nb AND a < b))").select("a", "na", "b", "nb").distinct()
-    pairs = materialise(met.where(same("a", "b")), "pairs")
+    sides = met(keyed, "clave", "forma", "forma <> other_forma AND (nivel > other_nivel OR (nivel = other_nivel AND forma < other_forma))", "nivel")
+    candidates = sides.toDF("a", "b", "na", "nb").select("a", "na", "b", "nb").distinct()
+    pairs = materialise(candidates.where(same("a", "b")), "pairs")
 
     labels = connected_components(pairs.where("na = 4 AND nb = 4").select("a", "b"))
     labels = forms.where("nivel = 4").select("forma").join(labels, F.col("forma") == F.col("node"), "left").select("forma", F.coalesce("component", "forma").alias("entidad"))

@@ -25,6 +25,16 @@ def test_words():
     assert fold_words("¡El NIÑO, árbol_roto!") == ["el", "nino", "arbol", "roto"]
 
 
+def test_items_in_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randint(0, 300)}" for _ in range(20)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, "x " + texts[i] + " y " + texts[(i * 7) % 30]) for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, x, "p") for i, x in enumerate(texts)], "item_id long, texto string, pregunta string")
+    whole = {tuple(x) for x in leaked_items(docs, "doc_id", "text", items, "item_id", "texto", "pregunta").collect()}
+    monkeypatch.setattr("tamiz.llm.leakage.BLOCK_ITEMS", 7)
+    assert {tuple(x) for x in leaked_items(docs, "doc_id", "text", items, "item_id", "texto", "pregunta").collect()} == whole and len(whole) == 54
+
+
 def test_frame(spark):
     r = random.Random(1)
     item = " ".join(f"w{r.randint(0, 99)}" for _ in range(30))
