@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import lexicons
 from tamiz.functions.text import contains_any, fold, long_words, ngrams, snippet, without, words
-from tamiz.session import broadcast_if_small
+from tamiz.operators.ranking import ranked
+from tamiz.session import broadcast_if_small, materialise
 
 
 def document_text(docs: DataFrame) -> Column:
@@ -119,6 +120,32 @@ def vector_search(docs: DataFrame, query: str, top_k: int | None = 5, max_featur
     return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(top_k) if top_k is not None else scored
 
 
+def cosines(docs: DataFrame, queries: dict[str, str], max_features: int | None = None, max_n: int = 2) -> DataFrame:
+    """(consulta, doc_id, coseno) of every query text (name -> text) and document with a term in common."""
+    weights, vocabulary = tfidf_terms(docs, fold(document_text(docs)), max_features, max_n)
+    grams: list[tuple[str, str, float]] = []
+    for name, text in queries.items():
+        tokens = [t for t in query_terms(text) if len(t) >= 2]
+        held = [" ".join(tokens[i : i + n]) for n in range(1, max_n + 1) for i in range(len(tokens) - n + 1)]
+        grams += [(name, g, float(held.count(g))) for g in sorted(set(held))]
+    asked = docs.sparkSession.createDataFrame(grams, "consulta string, term string, tf double")
+    # The queries are stated in the program: their terms are few, and only these postings meet them.
+    vector = materialise(vocabulary.join(broadcast_if_small(asked), "term").select("consulta", "term", (F.col("tf") * F.col("idf")).alias("q")), "queries")
+    norms = vector.groupBy("consulta").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
+    vector = vector.join(broadcast_if_small(norms), "consulta").select("consulta", "term", (F.col("q") / F.col("norm")).alias("q"))
+    return weights.join(broadcast_if_small(vector), "term").groupBy("consulta", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("coseno"))
+
+
+def rankings(docs: DataFrame, queries: dict[str, str]) -> DataFrame:
+    """(consulta, modelo, rango, doc_id): documents that hold all words of a query by number, and by cosine (ties by greater number)."""
+    held = docs.select("doc_id", F.array_distinct(words(fold(document_text(docs)))).alias("_w"))
+    asked = docs.sparkSession.createDataFrame([(q, query_terms(text)) for q, text in queries.items()], "consulta string, _q array<string>")
+    all_ = held.join(broadcast_if_small(asked), (F.size("_q") > 0) & F.forall("_q", lambda t: F.array_contains("_w", t)))
+    boolean = all_.select("consulta", F.lit("booleano").alias("modelo"), "doc_id", F.lit(0.0).alias("_s"), (-F.col("doc_id")).alias("_d"))
+    near = cosines(docs, queries).where("coseno > 0").select("consulta", F.lit("vectorial").alias("modelo"), "doc_id", F.round("coseno", 9).alias("_s"), F.col("doc_id").alias("_d"))
+    return ranked(boolean.unionByName(near), ["consulta", "modelo"], [F.desc("_s"), F.desc("_d")]).select("consulta", "modelo", "rango", "doc_id")
+
+
 def query_filters(query: Column) -> tuple[Column, Column]:
     """(sentiment, category) that a question asks for, or null: the first of the fixed substrings found."""
     low = F.lower(query)

@@ -28,3 +28,19 @@ SOURCE = f"coalesce(nullif({HOST.format('fuente')}, ''), nullif({HOST.format('ur
 
 def sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def tfidf_sql(features: int | None, sublinear: bool, name: str = "docs") -> str:
+    """Common table expressions of the TF-IDF of word and pair terms of a projection like ``docs``, up to ``voc`` and ``weights``."""
+    limit = f" ORDER BY total DESC, term LIMIT {features}" if features else ""
+    tf = "(1 + ln(tf))" if sublinear else "tf"
+    return f"""
+    long AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(titulo, '') || ' ' || coalesce(cuerpo, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM {name}),
+    grams AS (SELECT doc_id, unnest(ws) AS term FROM long UNION ALL
+              SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM long WHERE len(ws) >= 2)),
+    counted AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM grams GROUP BY 1, 2),
+    voc AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM {name})) / (1.0 + df)) + 1.0 AS idf FROM (
+            SELECT term, count(*) AS df, sum(tf) AS total FROM counted GROUP BY term{limit})),
+    raw AS (SELECT doc_id, term, {tf} * idf AS r FROM counted JOIN voc USING (term)),
+    norms AS (SELECT doc_id, sqrt(sum(r * r)) AS norm FROM raw GROUP BY doc_id),
+    weights AS (SELECT doc_id, term, r / norm AS w FROM raw JOIN norms USING (doc_id))"""

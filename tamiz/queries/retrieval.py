@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import lexicons
 from tamiz.functions.text import fold, words
 from tamiz.operators import dialogue, evaluation, search
-from tamiz.queries.base import DOCS, WORDS, documents, news, sql_list
+from tamiz.queries.base import DOCS, WORDS, documents, news, sql_list, tfidf_sql
 from tamiz.session import read_table
 
 # Queries of the comparison, with the category whose documents count as relevant.
@@ -16,14 +16,8 @@ JUDGED = [("q1", "banco deuda precio", "es"), ("q2", "the public hospital", "en"
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of each query: documents that hold all its words in order of number, and by how many of its words they hold."""
-    docs = documents(spark, sf_dir)
-    held = docs.select("doc_id", F.array_distinct(words(fold(search.document_text(docs)))).alias("_w"))
-    asked = spark.createDataFrame([(q, search.query_terms(text)) for q, text, _ in JUDGED], "consulta string, _q array<string>")
-    met = held.join(F.broadcast(asked), F.arrays_overlap("_w", "_q")).select("consulta", "doc_id", F.size(F.array_intersect("_w", "_q")).alias("k"), F.size("_q").alias("n"))
-    all_ = met.where("k = n").select("consulta", F.lit("booleano").alias("modelo"), "doc_id", F.row_number().over(Window.partitionBy("consulta").orderBy("doc_id")).alias("rango"))
-    some = met.select("consulta", F.lit("vectorial").alias("modelo"), "doc_id", F.row_number().over(Window.partitionBy("consulta").orderBy(F.desc("k"), F.desc("doc_id"))).alias("rango"))
-    return all_.unionByName(some)
+    """Two rankings of each query: documents that hold all its words in order of number, and by TF-IDF cosine."""
+    return search.rankings(documents(spark, sf_dir), {q: text for q, text, _ in JUDGED})
 
 
 def _judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +41,10 @@ def ir_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.winners(evaluation.macro(_measured(spark, sf_dir)), "booleano", "vectorial")
 
 
+def ir_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.conclusion(evaluation.macro(_measured(spark, sf_dir)))
+
+
 def ir_generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return evaluation.generated_queries(docs.withColumn("_t", words(fold(search.document_text(docs)))), "_t")
@@ -114,17 +112,20 @@ def item_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ir_measures, ir_averages, ir_winners, ir_generated_queries, question_intents, question_topics, question_filters, previous_turn, session_stats, running_topic, dialogue_turns,
+        ir_measures, ir_averages, ir_winners, ir_conclusion, ir_generated_queries, question_intents, question_topics, question_filters, previous_turn, session_stats, running_topic, dialogue_turns,
         question_pairs, question_answer, category_answer, item_topics,
     )
 }
 
 _ASKED = ", ".join(f"('{q}', {sql_list(text.split())}, '{c}')" for q, text, c in JUDGED)
 _MEASURES = f"""{DOCS}, jq AS (SELECT * FROM (VALUES {_ASKED}) AS v(consulta, q, categoria)),
-    held AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM docs),
-    met AS (SELECT consulta, doc_id, len(list_intersect(w, q)) AS k, len(q) AS n FROM held JOIN jq ON list_has_any(w, q)),
-    rk AS (SELECT consulta, 'booleano' AS modelo, doc_id, row_number() OVER (PARTITION BY consulta ORDER BY doc_id) AS rango FROM met WHERE k = n
-           UNION ALL SELECT consulta, 'vectorial', doc_id, row_number() OVER (PARTITION BY consulta ORDER BY k DESC, doc_id DESC) FROM met),
+    held AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM docs), {tfidf_sql(None, False)},
+    qg AS (SELECT consulta, unnest(q || list_transform(range(1, len(q)), lambda i: q[i] || ' ' || q[i + 1])) AS term FROM jq),
+    qv AS (SELECT consulta, term, count(*) * any_value(idf) AS r FROM qg JOIN voc USING (term) GROUP BY 1, 2),
+    qn AS (SELECT consulta, term, r / sqrt(sum(r * r) OVER (PARTITION BY consulta)) AS qw FROM qv),
+    cs AS (SELECT consulta, doc_id, round(sum(w * qw), 9) AS s FROM weights JOIN qn USING (term) GROUP BY 1, 2),
+    rk AS (SELECT consulta, 'booleano' AS modelo, doc_id, row_number() OVER (PARTITION BY consulta ORDER BY doc_id) AS rango FROM held JOIN jq ON list_has_all(w, q)
+           UNION ALL SELECT consulta, 'vectorial', doc_id, row_number() OVER (PARTITION BY consulta ORDER BY s DESC, doc_id DESC) FROM cs WHERE s > 0),
     rel AS (SELECT consulta, doc_id FROM docs JOIN jq USING (categoria)), sz AS (SELECT consulta, count(*) AS r FROM rel GROUP BY 1),
     hit AS (SELECT rk.*, CASE WHEN rel.doc_id IS NULL THEN 0 ELSE 1 END AS h FROM rk LEFT JOIN rel USING (consulta, doc_id)),
     run AS (SELECT hit.*, sum(h) OVER (PARTITION BY consulta, modelo ORDER BY rango) AS f, max(rango) OVER (PARTITION BY consulta, modelo) AS n, r FROM hit LEFT JOIN sz USING (consulta)),
@@ -159,6 +160,10 @@ ORACLES = {
     "ir_averages": f"WITH {_MEASURES} SELECT modelo, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(p_at_k), 6) AS p_at_k, round(avg(ap), 6) AS map FROM mea GROUP BY 1",
     "ir_winners": f"""WITH {_MEASURES}, a AS (SELECT modelo, avg(precision) AS p, avg(f1) AS f, avg(ap) AS m FROM mea GROUP BY 1), b AS (SELECT * FROM a WHERE modelo = 'booleano'), v AS (SELECT * FROM a WHERE modelo = 'vectorial')
         SELECT medida, CASE WHEN y > x THEN 'vectorial' ELSE 'booleano' END AS ganador FROM (SELECT 'precision' AS medida, (SELECT p FROM b) AS x, (SELECT p FROM v) AS y UNION ALL SELECT 'f1', (SELECT f FROM b), (SELECT f FROM v) UNION ALL SELECT 'map', (SELECT m FROM b), (SELECT m FROM v))""",
+    "ir_conclusion": f"""WITH {_MEASURES}, a AS (SELECT max(f) FILTER (modelo = 'booleano') AS b, max(f) FILTER (modelo = 'vectorial') AS v FROM (SELECT modelo, avg(f1) AS f FROM mea GROUP BY 1))
+        SELECT CASE WHEN abs(v - b) < 0.05 THEN printf('Ambos modelos tienen rendimiento similar (F1 Booleano=%.3f, Vectorial=%.3f). El modelo vectorial es preferible por su ranking graduado.', b, v)
+            WHEN v > b THEN printf('El modelo vectorial supera al rival en F1 promedio (Booleano=%.3f, Vectorial=%.3f). El modelo vectorial captura similitud semantica parcial.', b, v)
+            ELSE printf('El modelo booleano supera al rival en F1 promedio (Booleano=%.3f, Vectorial=%.3f). El modelo booleano ofrece mayor exactitud en este corpus.', b, v) END AS conclusion FROM a""",
     "ir_generated_queries": f"""WITH {DOCS}, l AS (SELECT categoria, count(*) AS documentos FROM docs WHERE categoria NOT IN ('', 'sin_categoria') GROUP BY 1 ORDER BY documentos DESC, categoria LIMIT 5),
         t AS (SELECT categoria, documentos, unnest({WORDS}) AS t FROM docs JOIN l USING (categoria)), c AS (SELECT categoria, documentos, t, count(*) AS n FROM t WHERE length(t) > 3 GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY categoria ORDER BY n DESC, t) AS r FROM c) SELECT categoria, documentos, string_agg(t, ' ' ORDER BY r) AS consulta FROM r WHERE r <= 3 GROUP BY 1, 2""",
@@ -171,6 +176,7 @@ ORACLES = {
     "session_stats": f"WITH {_ASKING} SELECT sesion, {_intent_sql('p', lexicons.DIALOGUE_INTENTS)} AS tipo, count(*) AS n FROM fq GROUP BY 1, 2",
     "question_pairs": f"""WITH {DOCS}, a AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'positivo' ELSE 'sin sentimiento' END AS s FROM docs)
         SELECT doc_id, 'categoria' AS tipo, 'categoria tema tipo ' || categoria || ' ' || coalesce(titulo, '') AS contexto, 'Esa noticia pertenece a la categoria ''' || categoria || ''': ' || coalesce(titulo, '') AS respuesta FROM a
+        UNION ALL SELECT doc_id, 'contenido', coalesce(titulo, '') || ' ' || coalesce(cuerpo, ''), coalesce(titulo, '') || '. ' || coalesce(cuerpo, '') FROM a
         UNION ALL SELECT doc_id, 'sentimiento', 'sentimiento opinion tono ' || s || ' ' || coalesce(titulo, ''), 'El tono de esa noticia es ' || s || ': ' || coalesce(titulo, '') FROM a""",
     "category_answer": f"WITH {DOCS} SELECT categoria, count(*) AS total, arg_min(titulo, doc_id) AS ejemplo FROM docs GROUP BY 1",
     "item_topics": f"WITH x AS (SELECT conjunto, tarea, strip_accents(lower(coalesce(pregunta, ''))) AS p FROM eval_items) SELECT conjunto, tarea, {_intent_sql('p', lexicons.QUESTION_INTENTS)} AS intencion, count(*) AS n FROM x GROUP BY 1, 2, 3",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import lexicons
 from tamiz.functions.text import clean, fold, words
 from tamiz.operators import nlp, search, similarity
-from tamiz.queries.base import DOCS, WORDS, documents, sql_list
+from tamiz.queries.base import DOCS, WORDS, documents, sql_list, tfidf_sql
 from tamiz.session import materialise, read_table
 
 QUERY = "inflación y salario mínimo"
@@ -178,24 +178,10 @@ def _grams(n: int) -> str:
         SELECT {glued} AS ngrama, count(*) AS n FROM pos GROUP BY 1 ORDER BY n DESC, ngrama LIMIT 30"""
 
 
-def _tfidf(features: int, sublinear: bool, name: str = "docs") -> str:
-    tf = "(1 + ln(tf))" if sublinear else "tf"
-    return f"""
-    long AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(titulo, '') || ' ' || coalesce(cuerpo, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM {name}),
-    grams AS (SELECT doc_id, unnest(ws) AS term FROM long UNION ALL
-              SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM long WHERE len(ws) >= 2)),
-    counted AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM grams GROUP BY 1, 2),
-    voc AS (SELECT term, df, ln((1.0 + (SELECT count(*) FROM {name})) / (1.0 + df)) + 1.0 AS idf FROM (
-            SELECT term, count(*) AS df, sum(tf) AS total FROM counted GROUP BY term ORDER BY total DESC, term LIMIT {features})),
-    raw AS (SELECT doc_id, term, {tf} * idf AS r FROM counted JOIN voc USING (term)),
-    norms AS (SELECT doc_id, sqrt(sum(r * r)) AS norm FROM raw GROUP BY doc_id),
-    weights AS (SELECT doc_id, term, r / norm AS w FROM raw JOIN norms USING (doc_id))"""
-
-
 def _scored(terms: list[str], query: str, significant: list[str], name: str = "docs", features: int = 3000) -> str:
     grams = terms + [f"{a} {b}" for a, b in zip(terms, terms[1:], strict=False)]
     values = ", ".join(f"('{g}')" for g in grams)
-    return f"""{_tfidf(features, False, name)},
+    return f"""{tfidf_sql(features, False, name)},
     q AS (SELECT term, count(*) * any_value(idf) AS r FROM (VALUES {values}) AS v(term) JOIN voc USING (term) GROUP BY term),
     qn AS (SELECT term, r / sqrt(sum(r * r) OVER ()) AS qw FROM q),
     cos AS (SELECT doc_id, sum(w * qw) AS relevancia FROM weights JOIN qn USING (term) GROUP BY doc_id),
@@ -243,10 +229,10 @@ ORACLES = {
         SELECT count(*) AS terminos_en_indice, coalesce(avg(n), 0.0) AS tamano_promedio_posting, (SELECT count(*) FROM docs) AS documentos_indexados FROM t""",
     "search_boolean_and": f"WITH {DOCS} SELECT doc_id FROM docs WHERE list_has_all({WORDS}, ['salario', 'minimo'])",
     "search_boolean_or": f"WITH {DOCS} SELECT doc_id FROM docs WHERE list_has_any({WORDS}, ['vacuna', 'orbita', 'inflacion'])",
-    "vocabulary": f"WITH {DOCS}, {_tfidf(1000, True)} SELECT term, df, round(idf, 6) AS idf FROM voc",
-    "tfidf_top_terms": f"""WITH {DOCS}, {_tfidf(1000, True)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term DESC) AS rango FROM weights WHERE w > 0)
+    "vocabulary": f"WITH {DOCS}, {tfidf_sql(1000, True)} SELECT term, df, round(idf, 6) AS idf FROM voc",
+    "tfidf_top_terms": f"""WITH {DOCS}, {tfidf_sql(1000, True)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term DESC) AS rango FROM weights WHERE w > 0)
         SELECT doc_id, rango, term, round(w, 6) AS w FROM r WHERE rango <= 8""",
-    "tfidf_matrix_info": f"""WITH {DOCS}, {_tfidf(1000, True)}, n AS (SELECT (SELECT count(*) FROM docs) AS documentos, (SELECT count(*) FROM voc) AS vocabulario, (SELECT count(*) FROM weights) AS celdas)
+    "tfidf_matrix_info": f"""WITH {DOCS}, {tfidf_sql(1000, True)}, n AS (SELECT (SELECT count(*) FROM docs) AS documentos, (SELECT count(*) FROM voc) AS vocabulario, (SELECT count(*) FROM weights) AS celdas)
         SELECT documentos, vocabulario, round(celdas / (documentos * vocabulario), 9) AS densidad, round(celdas / documentos, 6) AS terminos_por_documento FROM n""",
     "search_vector": f"""WITH {DOCS}, {_scored(['inflacion', 'salario', 'minimo'], 'inflacion y salario minimo', ['inflacion', 'salario', 'minimo'])}
         SELECT doc_id, round(relevancia, 6) AS relevancia, round(score, 6) AS score, CASE WHEN length(cuerpo) > 500 THEN left(cuerpo, 500) || '...' ELSE coalesce(cuerpo, '') END AS snippet
@@ -256,13 +242,13 @@ ORACLES = {
         b AS (SELECT *, 1 AS rama FROM scored WHERE score > 0 AND sentimiento = 'positivo' AND categoria = 'economia' UNION ALL BY NAME
               SELECT * REPLACE (0.0 AS score), 2 AS rama FROM scored WHERE sentimiento = 'positivo' AND categoria = 'economia' UNION ALL BY NAME SELECT *, 3 AS rama FROM scored WHERE score > 0)
         SELECT doc_id, categoria, sentimiento, round(score, 6) AS score FROM b WHERE rama = (SELECT min(rama) FROM b) ORDER BY round(score, 9) DESC, doc_id LIMIT 5""",
-    "similar_documents": f"""WITH {DOCS}, {_tfidf(1000, True)}, c AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS coseno FROM weights a JOIN weights b USING (term) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    "similar_documents": f"""WITH {DOCS}, {tfidf_sql(1000, True)}, c AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.w * b.w) AS coseno FROM weights a JOIN weights b USING (term) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(coseno, 9) DESC, j DESC) AS rango FROM c) SELECT i, j, round(coseno, 6) AS coseno, rango FROM r WHERE rango <= 3""",
     "embedding_neighbors": f"WITH {_NEAR} SELECT i, j, round(coseno, 6) AS coseno, rn AS rango FROM near WHERE rn <= 5",
     "recommend_item": f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY coseno DESC, j) AS rango FROM near WHERE rn <= 50) SELECT i, j, round(coseno, 6) AS coseno, rango FROM r WHERE rango <= 3""",
-    "recommend_exclude_category": f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY coseno DESC, j) AS rango FROM near WHERE rn <= 50 AND li IS DISTINCT FROM lj)
+    "recommend_exclude_category": f"""WITH {_NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY coseno DESC, j) AS rango FROM near WHERE li IS DISTINCT FROM lj)
         SELECT i, j, round(coseno, 6) AS coseno, rango FROM r WHERE rango <= 3""",
-    "recommend_profile": f"""WITH {_NEAR}, s AS (SELECT i % 3 AS perfil, j, round(sum(coseno), 9) AS afinidad FROM near WHERE rn <= 50 GROUP BY 1, 2),
+    "recommend_profile": f"""WITH {_NEAR}, s AS (SELECT i % 3 AS perfil, j, round(sum(coseno), 9) AS afinidad FROM near GROUP BY 1, 2),
         f AS (SELECT * FROM s WHERE afinidad > 0 AND NOT EXISTS (SELECT 1 FROM near n WHERE n.i = s.j AND n.i % 3 = s.perfil)),
         r AS (SELECT *, row_number() OVER (PARTITION BY perfil ORDER BY afinidad DESC, j DESC) AS rango FROM f) SELECT perfil, j, round(afinidad, 6) AS afinidad, rango FROM r WHERE rango <= 3""",
 }
