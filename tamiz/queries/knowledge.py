@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.text import slug
-from tamiz.operators import graph
+from tamiz.operators import graph, sparql, turtle
 from tamiz.operators.sentiment import label
 from tamiz.queries.base import news
 from tamiz.session import broadcast_if_small, read_table
@@ -108,6 +108,53 @@ def kg_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.json_ld(_triples(spark, sf_dir)).select("s", "json")
 
 
+_PREFIXES = f"PREFIX o: <{graph.ONTOLOGY}> PREFIX dc: <{graph.DC}> PREFIX foaf: <http://xmlns.com/foaf/0.1/> PREFIX rdfs: <{graph.RDFS}>\n"
+
+
+def sparql_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors by the number of their articles, from query text."""
+    found = sparql.select(_triples(spark, sf_dir), _PREFIXES + "SELECT ?autor (COUNT(?noticia) AS ?total) WHERE { ?noticia a o:Noticia ; o:tieneAutor ?uri . ?uri foaf:name ?autor . } GROUP BY ?autor ORDER BY DESC(?total)")
+    return found.select("autor", "total")
+
+
+def sparql_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a score below 0, the latest first."""
+    return sparql.select(_triples(spark, sf_dir), _PREFIXES + "SELECT ?noticia ?titulo ?fecha ?score WHERE { ?noticia a o:Noticia ; dc:title ?titulo ; dc:date ?fecha ; o:sentimientoScore ?score . FILTER(?score < 0) } ORDER BY DESC(?fecha)")
+
+
+def sparql_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score and number of the articles of each category."""
+    text = "SELECT ?categoria (AVG(?score) AS ?media) (COUNT(?noticia) AS ?total) WHERE { ?noticia a o:Noticia ; o:tieneCategoria ?c ; o:sentimientoScore ?score . ?c rdfs:label ?categoria . } GROUP BY ?categoria ORDER BY ?categoria"
+    return sparql.select(_triples(spark, sf_dir), _PREFIXES + text).select("categoria", F.round("media", 6).alias("media"), "total")
+
+
+def sparql_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of an author's or source's name in capitals, with the source's label where there is one."""
+    text = "SELECT DISTINCT ?noticia ?nombre ?f WHERE { ?noticia a o:Noticia { ?noticia o:tieneAutor ?a . ?a foaf:name ?n } UNION { ?noticia o:provieneDe ?s . ?s rdfs:label ?n } BIND(UCASE(?n) AS ?nombre) FILTER(STR(?n) = ?nombre && STRLEN(?n) > 3) OPTIONAL { ?noticia o:provieneDe ?s2 . ?s2 rdfs:label ?f } }"
+    return sparql.select(_triples(spark, sf_dir), _PREFIXES + text).select("noticia", "nombre", F.coalesce("f", F.lit("")).alias("fuente"))
+
+
+def kg_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip through Turtle, a document a subject."""
+    blocks = turtle.turtle(_triples(spark, sf_dir)).select(F.concat(F.lit(turtle.header()), "value").alias("value"))
+    return turtle.read_turtle(blocks).groupBy("p", "tipo").agg(F.count("*").alias("n"), F.countDistinct("s").alias("sujetos"))
+
+
+#: Shapes of the articles: what each must have, and the types of dates and addresses.
+SHAPES = f"""
+@prefix sh: <{turtle.SHACL}> . @prefix o: <{graph.ONTOLOGY}> . @prefix dc: <{graph.DC}> . @prefix xsd: <{graph.XSD}> .
+o:FormaNoticia a sh:NodeShape ; sh:targetClass o:Noticia ;
+    sh:property [ sh:path dc:title ; sh:minCount 1 ] ; sh:property [ sh:path dc:date ; sh:minCount 1 ; sh:datatype xsd:date ] ; sh:property [ sh:path o:tieneAutor ; sh:minCount 1 ] ;
+    sh:property [ sh:path o:tieneCategoria ; sh:minCount 1 ] ; sh:property [ sh:path o:urlOriginal ; sh:minCount 1 ; sh:datatype xsd:anyURI ] .
+"""
+
+
+def kg_shapes_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the rules of a shapes document, by property and motive."""
+    rules = turtle.shape_rules(turtle.read_turtle(spark.createDataFrame([(SHAPES,)], "value string")))
+    return turtle.validate(_triples(spark, sf_dir), rules).groupBy("p", "motivo").agg(F.count("*").alias("n"))
+
+
 def kg_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("pos", slug(F.col("autor"), "sin_valor").alias("slug"))
 
@@ -116,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kg_triples, kg_ontology, kg_star_join, kg_count_by_category, kg_avg_by_category, kg_negative, kg_author_output, kg_optional_label, kg_union_entities, kg_theta_contains,
-        kg_shape_violations, kg_datatype_violations, kg_entity_link, kg_open_data, kg_n_triples, kg_json_ld, kg_slugs,
+        kg_shape_violations, kg_datatype_violations, kg_entity_link, kg_open_data, kg_n_triples, kg_json_ld, kg_slugs, kg_turtle, kg_shapes_file, sparql_authors, sparql_negative, sparql_by_category, sparql_labels,
     )
 }
 
@@ -158,6 +205,18 @@ ORACLES = {
     "kg_open_data": f"""WITH r AS (SELECT 'urn:datos:registro/catalogo_de_fuentes_' || id AS s, unnest([['nombre', nombre, 'literal'], ['pais', pais, 'literal'], ['limite_noticias', CAST(limite_noticias AS VARCHAR), '{_XSD}float'], ['delay_segundos', CAST(delay_segundos AS VARCHAR), '{_XSD}float']]) AS x FROM fuentes)
         SELECT s, 'urn:datos:' || x[1] AS p, x[2] AS o, x[3] AS tipo FROM r WHERE x[2] IS NOT NULL""",
     "kg_n_triples": f"WITH {_NEWS} {_COUNTS}",
+    "kg_turtle": f"WITH {_NEWS} {_COUNTS}",
+    "kg_shapes_file": f"""WITH {_NEWS}, v AS (SELECT unnest([
+            CASE WHEN titulo IS NULL THEN ['{graph.DC}title', 'minCount'] END, CASE WHEN fecha IS NULL THEN ['{graph.DC}date', 'minCount'] END, CASE WHEN autor IS NULL THEN ['{graph.ONTOLOGY}tieneAutor', 'minCount'] END,
+            CASE WHEN categoria IS NULL THEN ['{graph.ONTOLOGY}tieneCategoria', 'minCount'] END, CASE WHEN url IS NULL THEN ['{graph.ONTOLOGY}urlOriginal', 'minCount'] END,
+            CASE WHEN fecha IS NOT NULL AND NOT (regexp_full_match(fecha, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_strptime(fecha, '%Y-%m-%d') IS NOT NULL) THEN ['{graph.DC}date', 'datatype'] END,
+            CASE WHEN NOT regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*:[^\\s<>]+') THEN ['{graph.ONTOLOGY}urlOriginal', 'datatype'] END]) AS x FROM kg)
+        SELECT x[1] AS p, x[2] AS motivo, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY 1, 2""",
+    "sparql_authors": f"WITH {_NEWS} SELECT an.autor, count(*) AS total FROM kg JOIN an USING (a) WHERE kg.autor IS NOT NULL GROUP BY 1",
+    "sparql_negative": f"WITH {_NEWS} SELECT noticia, titulo, fecha, CAST(score AS VARCHAR) AS score FROM kg WHERE score < 0 AND titulo IS NOT NULL AND fecha IS NOT NULL",
+    "sparql_by_category": f"WITH {_NEWS} SELECT cl.categoria, round(avg(score), 6) AS media, count(*) AS total FROM kg JOIN cl USING (c) WHERE kg.categoria IS NOT NULL AND score IS NOT NULL GROUP BY 1",
+    "sparql_labels": f"""WITH {_NEWS}, n AS (SELECT noticia, an.autor AS n, kg.f, kg.fuente FROM kg JOIN an USING (a) WHERE kg.autor IS NOT NULL UNION ALL SELECT noticia, fl.fuente, kg.f, kg.fuente FROM kg JOIN fl ON kg.f = fl.f WHERE kg.fuente IS NOT NULL)
+        SELECT DISTINCT noticia, n AS nombre, coalesce(fl.fuente, '') AS fuente FROM n LEFT JOIN fl ON n.f = fl.f AND n.fuente IS NOT NULL WHERE n = upper(n) AND length(n) > 3""",
     "kg_slugs": f"SELECT pos, {_SLUG.format('autor')} AS slug FROM noticias",
     "kg_datatype_violations": f"""WITH v AS (SELECT '{graph.DC}date' AS propiedad FROM noticias WHERE fecha IS NOT NULL AND NOT (regexp_full_match(fecha, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_strptime(fecha, '%Y-%m-%d') IS NOT NULL)
         UNION ALL SELECT '{graph.ONTOLOGY}urlOriginal' FROM noticias WHERE url IS NOT NULL AND NOT regexp_full_match(url, '[A-Za-z][A-Za-z0-9+.-]*:[^\\s<>]+')) SELECT propiedad, count(*) AS n FROM v GROUP BY 1""",
