@@ -71,6 +71,51 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news(spark, sf_dir).select("pos", host_of(F.col("url")).alias("host"), source_host(F.col("fuente"), F.col("url")).alias("origen"))
 
 
+PAGE_ITEMS = 8
+
+
+def _listings(spark: SparkSession, sf_dir: str, as_links: bool = False) -> DataFrame:
+    """Listing pages of ``PAGE_ITEMS`` records each, the next one linked; ``as_links`` has bare links in place of items. Every seventh record lacks its title."""
+    def part(name: str) -> Column:
+        return _escaped(F.coalesce(F.col(name), F.lit("")))
+
+    rows = read_table(spark, sf_dir, "noticias_paginadas").withColumn("n", F.floor((F.col("fila") - 1) / PAGE_ITEMS))
+    title = F.when(F.col("fila") % 7 == 0, F.lit(" ")).otherwise(part("titulo"))
+    link = F.concat(F.lit("<a href='"), part("url"), F.lit("'>"), title, F.lit("</a>"))
+    entry = F.concat(F.lit("<div class='nota'><h2>"), title, F.lit("</h2><p>"), part("resumen"), link, F.lit("</div>"))
+    pages = rows.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fila", (link if as_links else entry).alias("x")))), lambda r: r["x"]), "\n").alias("body"))
+    site = F.lit("https://lavozdepuertonevzalira.example/lista/")
+    onward = F.concat(F.lit("<a rel='next' href='/lista/"), (F.col("n") + 1).cast("string"), F.lit("'>Siguiente</a>"))
+    return pages.select("n", F.concat(site, F.col("n").cast("string")).alias("url"), F.concat(F.lit("<html><body>"), "body", onward, F.lit("</body></html>")).alias("html"))
+
+
+def listing_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of all listing pages, each URL where it is listed first."""
+    pages = _listings(spark, sf_dir)
+    return html.first_listed(html.listing_table(pages, ".nota"), pages, "n").select("pagina", "titulo", "url")
+
+
+def listing_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.listing_diagnostics(_listings(spark, sf_dir), ".nota")
+
+
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages without items give: their links of twenty characters or more that stay on the site."""
+    return html.listing_table(_listings(spark, sf_dir, True), ".nota").select("pagina", "titulo", "url")
+
+
+def listing_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty articles along the links to the next page: the limit is the crawl's feature."""
+    found = html.crawl_listing(_listings(spark, sf_dir), "https://lavozdepuertonevzalira.example/lista/0", ".nota", 5, 20)
+    return found.select("pos", F.col("pagina_origen").alias("pagina"), "titulo", "url")
+
+
+def listing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a crawl gave enough: complete from twenty articles on."""
+    found = listing_crawl(spark, sf_dir).agg(F.count("*").alias("articulos"), F.countDistinct("pagina").alias("paginas"))
+    return found.withColumn("estado", F.when(F.col("articulos") >= 20, "completo").otherwise("parcial"))
+
+
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs that robots files allow: every second host keeps its culture pages closed, the last host has no file."""
     hosts = read_table(spark, sf_dir, "fuentes").select(host_of(F.col("base_url")).alias("host"), F.when(F.col("pais") == "México", "User-agent: *\nDisallow: /cultura").when(F.col("pais") != "Chile", "User-agent: *\nAllow: /").alias("texto"))
@@ -137,7 +182,7 @@ def last_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        html_extract, html_errors, dom_profile, feed_articles, url_scope, url_section, url_hosts, robots_gate, crawl_frontier, catalogue_validation, catalogue_custom,
+        html_extract, html_errors, dom_profile, feed_articles, url_scope, url_section, url_hosts, robots_gate, listing_articles, listing_diagnostics, listing_links, listing_crawl, listing_evidence, crawl_frontier, catalogue_validation, catalogue_custom,
         csv_flatten, corpus_rows, normalised_articles, labelled_texts, thread_messages, collapsed_titles, answer_averages, last_stage,
     )
 }
@@ -149,6 +194,10 @@ _LOW_PATH = _PATH.replace("(url", "(lower(url)")
 _SECTION_MAP = ", ".join(f"'{k}': '{c}'" for k, c in lexicons.URL_SECTIONS)
 _AUTH = "coalesce(regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '')"
 
+_LIST = "https://lavozdepuertonevzalira.example/lista/"
+_LISTED = f"""li AS (SELECT fila, CAST(floor((fila - 1) / {PAGE_ITEMS}) AS BIGINT) AS n, '{_LIST}' || CAST(floor((fila - 1) / {PAGE_ITEMS}) AS BIGINT) AS pagina, CASE WHEN fila % 7 = 0 THEN '' ELSE coalesce({_C.format('titulo')}, '') END AS t, url FROM noticias_paginadas)"""
+_CRAWLED = f"""{_LISTED}, f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fila) AS r FROM li WHERE t <> '' AND n < 5), c AS (SELECT row_number() OVER (ORDER BY fila) - 1 AS pos, pagina, t AS titulo, url FROM f WHERE r = 1 QUALIFY row_number() OVER (ORDER BY fila) <= 20)"""
+
 ORACLES = {
     "html_extract": f"""SELECT 'https://portal.example/p/' || pos AS pagina, {_C.format('titulo')} AS titulo, {_C.format('fecha')} AS fecha, {_C.format('autor')} AS autor, coalesce(categoria_original, 'sin_categoria') AS categoria_original,
         'https://portal.example/n/' || pos AS url FROM noticias WHERE {_OK}""",
@@ -163,6 +212,13 @@ ORACLES = {
     "url_section": f"""WITH s AS (SELECT pos, string_split({_LOW_PATH}, '/') AS seg FROM noticias), m AS (SELECT MAP {{{_SECTION_MAP}}} AS m)
         SELECT pos, coalesce(list_filter(list_transform(seg, lambda x: m[trim(x)]), lambda c: c IS NOT NULL)[1], '') AS categoria FROM s, m""",
     "url_hosts": f"SELECT pos, nullif({HOST.format('url')}, '') AS host, {SOURCE} AS origen FROM noticias",
+    "listing_articles": f"WITH {_LISTED}, f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fila) AS r FROM li WHERE t <> '') SELECT pagina, t AS titulo, url FROM f WHERE r = 1",
+    "listing_diagnostics": f"""WITH {_LISTED} SELECT pagina, CAST(count(*) AS INTEGER) AS elementos, CAST(count(*) FILTER (t = '') AS INTEGER) AS sin_titulo, CAST(count(*) FILTER (t <> '') - count(DISTINCT url) FILTER (t <> '') AS INTEGER) AS repetidos,
+        CAST(count(DISTINCT url) FILTER (t <> '') AS INTEGER) AS articulos, '{_LIST}' || (n + 1) AS siguiente FROM li GROUP BY pagina, n""",
+    "listing_links": f"""WITH {_LISTED}, s AS (SELECT *, {HOST.format('url')} AS h FROM li WHERE length(t) >= 20), k AS (SELECT *, row_number() OVER (PARTITION BY pagina, url ORDER BY fila) AS r FROM s WHERE h = 'lavozdepuertonevzalira.example' OR ends_with(h, '.lavozdepuertonevzalira.example'))
+        SELECT pagina, t AS titulo, url FROM k WHERE r = 1""",
+    "listing_crawl": f"""WITH {_CRAWLED} SELECT pos, pagina, titulo, url FROM c""",
+    "listing_evidence": f"""WITH {_CRAWLED} SELECT count(*) AS articulos, count(DISTINCT pagina) AS paginas, CASE WHEN count(*) >= 20 THEN 'completo' ELSE 'parcial' END AS estado FROM c""",
     "robots_gate": f"""WITH h AS (SELECT {SOURCE.replace('fuente', 'base_url')} AS host, pais FROM (SELECT base_url, base_url AS url, pais FROM fuentes)), n AS (SELECT pos, {HOST.format('url')} AS host, {_PATH} AS ruta FROM noticias)
         SELECT pos, coalesce(CASE WHEN pais = 'México' THEN NOT starts_with(ruta, '/cultura') WHEN pais <> 'Chile' THEN true ELSE false END, false) AS permitida FROM n LEFT JOIN h USING (host)""",
     "catalogue_validation": """WITH f AS (SELECT *, CASE WHEN pais <> 'Chile' THEN limite_noticias END AS lim FROM fuentes)

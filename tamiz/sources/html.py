@@ -264,6 +264,48 @@ def crawl_listing(pages: DataFrame, start: str, item: str, max_pages: int = 5, m
     return pages.sparkSession.createDataFrame(rows[:minimum], "pos long, pagina_origen string, titulo string, resumen string, url string, fecha string, autor string, categoria string")
 
 
+def listing_table(pages: DataFrame, item: str, fields: dict[str, str | None] | None = None, url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(pagina, orden, titulo, resumen, url, fecha, autor, categoria) of every listing page (url, html), each read once.
+
+    Links seen before on the page are left out; over pages see :func:`first_listed`.
+    """
+    names = ["pagina", "orden", "titulo", "resumen", "url", "fecha", "autor", "categoria"]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (url, i, *(x[n] for n in names[2:]))
+                for url, page in zip(frame[url_column], frame[html_column], strict=True)
+                for i, x in enumerate(listing_items(page or "", url or "", item, fields), 1)
+            ]
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select(url_column, html_column).mapInPandas(read, "pagina string, orden int, titulo string, resumen string, url string, fecha string, autor string, categoria string")
+
+
+def first_listed(items: DataFrame, pages: DataFrame, order: str, url_column: str = "url") -> DataFrame:
+    """The items of :func:`listing_table` whose URL no page before lists, pages taken by their column ``order``."""
+    placed = items.join(pages.select(F.col(url_column).alias("pagina"), F.col(order).alias("_page")), "pagina")
+    least = placed.groupBy("url").agg(F.min(F.struct("_page", "orden")).alias("_first"))
+    return placed.join(least, "url").where(F.struct("_page", "orden") == F.col("_first")).select(*items.columns)
+
+
+def listing_diagnostics(pages: DataFrame, item: str, url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """(pagina, elementos, sin_titulo, repetidos, articulos, siguiente) of every listing page: what was found, what was left out, where it leads."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for url, page in zip(frame[url_column], frame[html_column], strict=True):
+                nodes = parse(page or "").select(item)
+                found = listing_items(page or "", url or "", item)
+                blank = sum(1 for n in nodes if not ((h := n.first("h1, h2, h3")) and h.text()))
+                rows.append((url, len(nodes), blank, len(nodes) - blank - len(found) if nodes else 0, len(found), next_page(page or "", url or "")))
+            yield pd.DataFrame(rows, columns=["pagina", "elementos", "sin_titulo", "repetidos", "articulos", "siguiente"])
+
+    return pages.select(url_column, html_column).mapInPandas(read, "pagina string, elementos int, sin_titulo int, repetidos int, articulos int, siguiente string")
+
+
 def dom_profile(pages: DataFrame, html_column: str, ident: str) -> DataFrame:
     """(ident, titulo, navegacion, articulos, articulos_main, tendencias, pie) of each page."""
 

@@ -102,3 +102,17 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "l")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["n", "l", "t"]
     assert "x\\|y" in sinks.markdown_table(df)
     assert sinks.inventory([str(tmp_path / "a.json"), "/none"])[1]["existe"] is False
+
+
+def test_listing_table_and_diagnostics(spark):
+    item = "<div class='i'><h2>{}</h2><a href='{}'>x</a></div>"
+    pages = [
+        (0, "https://a.example/1", item.format("Uno", "/u") + item.format("", "/v") + item.format("Dos", "/d") + item.format("Otra vez", "/u") + "<a href='/2'>Siguiente</a>"),
+        (1, "https://a.example/2", item.format("Uno de nuevo", "/u") + item.format("Tres", "/t")),
+        (2, "https://a.example/3", None),
+    ]
+    df = spark.createDataFrame([(*p, "z") for p in pages], "n int, url string, html string, pagina string")
+    items = html.listing_table(df, ".i")
+    assert [(r.pagina[-1], r.titulo) for r in html.first_listed(items, df, "n").orderBy("pagina", "orden").collect()] == [("1", "Uno"), ("1", "Dos"), ("2", "Tres")]
+    got = {r.pagina[-1]: (r.elementos, r.sin_titulo, r.repetidos, r.articulos, r.siguiente) for r in html.listing_diagnostics(df, ".i").collect()}
+    assert got == {"1": (4, 1, 1, 2, "https://a.example/2"), "2": (2, 0, 0, 2, None), "3": (0, 0, 0, 0, None)}
