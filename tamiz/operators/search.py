@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +148,42 @@ def rankings(docs: DataFrame, queries: dict[str, str]) -> DataFrame:
     return ranked(boolean.unionByName(near), ["consulta", "modelo"], [F.desc("_s"), F.desc("_d")]).select("consulta", "modelo", "rango", "doc_id")
 
 
+def federated_search(sources: dict[str, DataFrame], query: str, top_k: int = 10) -> DataFrame:
+    """:func:`vector_search` over several sources (name -> (doc_id, titulo, cuerpo)) as one corpus; ``fuente`` names a result's source."""
+    parts = [df.select((F.col("doc_id") * len(sources) + i).alias("doc_id"), "titulo", "cuerpo", F.lit(name).alias("fuente"), F.col("doc_id").alias("id")) for i, (name, df) in enumerate(sources.items())]
+    found = vector_search(reduce(DataFrame.unionByName, parts), query, top_k)
+    return found.select("fuente", "id", "titulo", "relevancia", "score", "snippet")
+
+
+#: Least score of the best result for which the corpus at hand is enough.
+ENOUGH = 0.18
+
+
+def search_with_fallback(corpus: DataFrame, query: str, sources: dict[str, DataFrame], top_k: int = 10) -> DataFrame:
+    """Results of the corpus if the best one scores ``ENOUGH`` and has a significant word of the query, else of the sources, else of the corpus."""
+    own = vector_search(corpus, query, top_k)
+    wanted = F.array(*[F.lit(t) for t in query_terms(query) if len(t) >= 3 and t not in lexicons.SEARCH_STOPWORDS] or [F.lit("")])
+    held = words(fold(F.concat_ws(" ", "titulo", "snippet")))
+    best = own.select("score", F.arrays_overlap(wanted, held).alias("covers")).limit(1).collect()
+    own = own.select(F.lit("corpus_cargado").alias("fuente"), F.col("doc_id").alias("id"), "titulo", "relevancia", "score", "snippet")
+    if best and best[0]["score"] >= ENOUGH and best[0]["covers"]:
+        return own
+    others = federated_search(sources, query, top_k) if sources else None
+    return own if others is None or others.isEmpty() else others
+
+
+#: Results that an answer of each kind is made of, and how many it needs.
+ANSWERS = {"recomendacion": (3, 1), "comparacion": (2, 2), "busqueda": (1, 1)}
+
+
+def search_answers(docs: DataFrame, query: str) -> DataFrame:
+    """(tipo, rango, doc_id, titulo, relevancia): the results behind a recommendation, a comparison and a search answer."""
+    best = vector_search(docs, query, max(n for n, _ in ANSWERS.values())).withColumn("rango", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("tipo"), F.lit(n).alias("n"), F.lit(least).alias("least")) for kind, (n, least) in ANSWERS.items()])
+    rows = best.withColumn("_all", F.count("*").over(Window.partitionBy())).select("*", F.explode(kinds).alias("k"))
+    return rows.where("rango <= k.n AND _all >= k.least").select("k.tipo", "rango", "doc_id", "titulo", "relevancia")
+
+
 def query_filters(query: Column) -> tuple[Column, Column]:
     """(sentiment, category) that a question asks for, or null: the first of the fixed substrings found."""
     low = F.lower(query)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import lexicons
 from tamiz.functions.text import clean, fold, words
-from tamiz.operators import nlp, search, similarity
+from tamiz.operators import dialogue, nlp, search, similarity
 from tamiz.queries.base import DOCS, WORDS, documents, sql_list, tfidf_sql
 from tamiz.session import materialise, read_table
 
@@ -121,6 +123,45 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similar_documents(weights, docs.where("doc_id % 50 = 0"), 3).select("i", "j", F.round("coseno", 6).alias("coseno"), "rango")
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "noticias_paginadas").select(F.col("fila").alias("doc_id"), "titulo", F.col("resumen").alias("cuerpo"))
+
+
+def search_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked search over the documents and the listings as one corpus: the ten best are its feature."""
+    found = search.federated_search({"documentos": documents(spark, sf_dir).select("doc_id", "titulo", "cuerpo"), "listados": _paged(spark, sf_dir)}, QUERY, 10)
+    return found.select("fuente", "id", F.round("relevancia", 6).alias("relevancia"), F.round("score", 6).alias("score"))
+
+
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that the listings do not answer well enough goes to the documents."""
+    found = search.search_with_fallback(_paged(spark, sf_dir).where("doc_id < 0"), QUERY, {"documentos": documents(spark, sf_dir).select("doc_id", "titulo", "cuerpo")}, 10)
+    return found.select("fuente", "id", F.round("score", 6).alias("score"))
+
+
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_answers(documents(spark, sf_dir), QUERY)
+    return found.select("tipo", "rango", "doc_id", F.round("relevancia", 6).alias("relevancia"))
+
+
+#: Settings of the weights by use: (accents folded, vocabulary, longest n-gram, stop words, text of empty documents).
+TFIDF_SETTINGS: dict[str, tuple[bool, int | None, int, list[str], str]] = {
+    "comparador": (True, None, 2, [], ""), "preguntas": (True, 2000, 2, dialogue.QUESTION_STOPWORDS, ""), "clasificador": (False, 3000, 2, [], ""), "hilo": (False, 500, 1, ["the", "and", "of", "to", "in"], ""),
+    "anuncios": (False, None, 1, [], ""), "recomendador": (True, 2000, 2, [], "sin contenido"),
+}
+
+
+def tfidf_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and weight of the matrix of each use's settings."""
+    docs, out = documents(spark, sf_dir), []
+    for name, (folded, features, n, stop, empty) in TFIDF_SETTINGS.items():
+        text = search.document_text(docs)
+        text = F.when(F.trim(text) == "", F.lit(empty)).otherwise(text)
+        weights, _ = search.tfidf_terms(docs, fold(text) if folded else F.lower(text), features, n, stopwords=stop)
+        out.append(weights.agg(F.countDistinct("term").alias("terminos"), F.count("*").alias("celdas"), F.round(F.sum("w"), 3).alias("peso")).withColumn("uso", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _neighbours(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return similarity.nearest_vectors(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), n)
@@ -158,7 +199,7 @@ def greedy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_vector, search_natural, search_boolean_and, search_boolean_or, index_info, vocabulary, tfidf_top_terms, tfidf_matrix_info, similar_documents,
+        search_vector, search_natural, search_federated, search_fallback, search_answers, tfidf_settings, search_boolean_and, search_boolean_or, index_info, vocabulary, tfidf_top_terms, tfidf_matrix_info, similar_documents,
         clean_text, term_frequencies, corpus_stats, ngrams_top, trigrams_top, lexical_richness, richness_by_section, entity_context, discourse_analysis, category_terms, stems_es,
         embedding_neighbors, recommend_item, recommend_exclude_category, recommend_profile, greedy_groups,
     )
@@ -199,6 +240,21 @@ _NEAR = """
 _DISCOURSE = f"""long3 AS (SELECT doc_id, coalesce(cuerpo, '') AS c, list_filter({_LETTERS.format('cuerpo')}, lambda t: length(t) > 2) AS lw FROM docs),
     fil AS (SELECT doc_id, c, len(lw) AS palabras, list_filter(lw, lambda t: NOT list_contains({sql_list(lexicons.DISCOURSE_STOPWORDS)}, t)) AS ts FROM long3)"""
 
+def _setting_sql(name: str, folded: bool, features: int | None, n: int, stop: list[str], empty: str) -> str:
+    text = "lower(coalesce(titulo, '') || ' ' || coalesce(cuerpo, ''))"
+    text = f"CASE WHEN trim({text}) = '' THEN '{empty}' ELSE {text} END"
+    text = f"strip_accents({text})" if folded else text
+    pairs = f"UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM l_{name} WHERE len(ws) >= 2)" if n == 2 else ""
+    limit = f"ORDER BY sum(tf) DESC, term LIMIT {features}" if features else ""
+    return f"""l_{name} AS (SELECT doc_id, list_filter(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: NOT list_contains(CAST({sql_list(stop)} AS VARCHAR[]), t)) AS ws FROM docs),
+        g_{name} AS (SELECT doc_id, unnest(ws) AS term FROM l_{name} {pairs}), c_{name} AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM g_{name} GROUP BY 1, 2),
+        v_{name} AS (SELECT term, ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + count(*))) + 1.0 AS idf FROM c_{name} GROUP BY term {limit}), r_{name} AS (SELECT doc_id, term, tf * idf AS r FROM c_{name} JOIN v_{name} USING (term)),
+        w_{name} AS (SELECT term, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS w FROM r_{name}), o_{name} AS (SELECT '{name}' AS uso, count(DISTINCT term) AS terminos, count(*) AS celdas, round(sum(w), 3) AS peso FROM w_{name})"""
+
+
+_BOTH = "bo AS (SELECT doc_id * 2 AS doc_id, titulo, cuerpo, 'documentos' AS fuente, doc_id AS id FROM docs UNION ALL SELECT fila * 2 + 1, titulo, resumen, 'listados', fila FROM noticias_paginadas)"
+_ASK = (["inflacion", "salario", "minimo"], "inflacion y salario minimo", ["inflacion", "salario", "minimo"])
+
 ORACLES = {
     "clean_text": rf"""WITH {DOCS} SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(cuerpo), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\p{{N}}+', '', 'g'), '\s+', ' ', 'g')) AS limpio FROM docs""",
     "term_frequencies": f"WITH {DOCS} SELECT termino, count(*) AS n FROM (SELECT unnest({WORDS}) AS termino FROM docs) GROUP BY termino ORDER BY n DESC, termino LIMIT 50",
@@ -237,6 +293,12 @@ ORACLES = {
     "search_vector": f"""WITH {DOCS}, {_scored(['inflacion', 'salario', 'minimo'], 'inflacion y salario minimo', ['inflacion', 'salario', 'minimo'])}
         SELECT doc_id, round(relevancia, 6) AS relevancia, round(score, 6) AS score, CASE WHEN length(cuerpo) > 500 THEN left(cuerpo, 500) || '...' ELSE coalesce(cuerpo, '') END AS snippet
         FROM scored WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 10""",
+    "search_federated": f"""WITH {DOCS}, {_BOTH}, {_scored(*_ASK, 'bo')}
+        SELECT fuente, id, round(relevancia, 6) AS relevancia, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 10""",
+    "search_fallback": f"""WITH {DOCS}, {_scored(*_ASK)} SELECT 'documentos' AS fuente, doc_id AS id, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 10""",
+    "search_answers": f"""WITH {DOCS}, {_scored(*_ASK)}, b AS (SELECT doc_id, relevancia, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rango, count(*) OVER () AS n FROM scored WHERE score > 0)
+        SELECT tipo, rango, doc_id, round(relevancia, 6) AS relevancia FROM b, (VALUES ('recomendacion', 3, 1), ('comparacion', 2, 2), ('busqueda', 1, 1)) AS k(tipo, most, least) WHERE rango <= most AND n >= least""",
+    "tfidf_settings": f"""WITH {DOCS}, {', '.join(_setting_sql(name, *x) for name, x in TFIDF_SETTINGS.items())} {' UNION ALL '.join(f'SELECT * FROM o_{name}' for name in TFIDF_SETTINGS)}""",
     "search_natural": f"""WITH {DOCS}, jd AS (SELECT doc_id, titulo, cuerpo, CASE doc_id % 3 WHEN 0 THEN 'positivo' WHEN 1 THEN 'negativo' ELSE 'neutral' END AS sentimiento, CASE WHEN doc_id % 2 = 0 THEN 'economia' ELSE 'politica' END AS categoria FROM docs),
         {_scored(['noticias', 'positivas', 'de', 'economia', 'sobre', 'inflacion', 'salario'], 'noticias positivas de economia sobre inflacion y salario', ['noticias', 'positivas', 'economia', 'sobre', 'inflacion', 'salario'], 'jd')},
         b AS (SELECT *, 1 AS rama FROM scored WHERE score > 0 AND sentimiento = 'positivo' AND categoria = 'economia' UNION ALL BY NAME
