@@ -190,7 +190,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = r"regexp_extract(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)', 1)"
 _SOURCE = f"coalesce(nullif({_HOST.format('fuente')}, ''), nullif({_HOST.format('url')}, ''))"
 
+# Every window of 300 characters of every document; those that several documents have.
+_WINDOWS = """
+    pl AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300),
+    win AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM pl),
+    often AS (SELECT h FROM win GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+    held AS (SELECT doc_id, i, h FROM win JOIN often USING (h)),
+    marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 300 THEN 0 ELSE 1 END AS fresh FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+    spans AS (SELECT doc_id, CAST(min(i) - 1 AS INTEGER) AS inicio, CAST(max(i) + 299 AS INTEGER) AS fin FROM runs GROUP BY doc_id, r)"""
+_FOLDED = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
+
 ORACLES: dict[str, str] = {
+    "p10_found": f"""WITH {_WINDOWS}, k AS (SELECT DISTINCT doc_id, h FROM held)
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p10_spans": f"WITH {_WINDOWS} SELECT doc_id, inicio, fin FROM spans",
+    "p10_share": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, CAST(sum(fin - inicio) AS BIGINT) AS repetidos FROM spans GROUP BY doc_id)
+        SELECT doc_id, coalesce(length(text), 0) AS caracteres, coalesce(repetidos, 0) AS repetidos, round(CASE WHEN length(text) > 0 THEN coalesce(repetidos, 0) / length(text) ELSE 0 END, 6) AS proporcion FROM documents LEFT JOIN c USING (doc_id)""",
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_FOLDED.format('text')} AS w FROM documents), e AS (SELECT item_id, {_FOLDED.format('texto')} AS w FROM eval_items),
+        dg AS (SELECT doc_id, hash(list_slice(w, i, i + 11)) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)), eg AS (SELECT item_id, hash(list_slice(w, i, i + 11)) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (h)""",
     "p5_found": f"""
         WITH base AS (
             SELECT pos, calidad, {_SOURCE} AS src, CASE WHEN trim(autor) <> '' THEN autor END AS aut, count(*) OVER () AS n
