@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.text import fold
+from tamiz.operators.ranking import ranked
+from tamiz.session import materialise
 
 FEATURES = 1 << 12
 
@@ -61,28 +63,27 @@ def predict(model: PipelineModel, labels: list[str], df: DataFrame, text: str =
 
 def folds(df: DataFrame, label: str, k: int, ident: str) -> DataFrame:
     """Add ``pliegue``: stratified folds, by rank of a hash within each label."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(ident, F.lit(42)), ident)
-    return df.withColumn("pliegue", (F.row_number().over(order) - 1) % k)
+    placed = ranked(df.withColumn("_h", F.xxhash64(ident, F.lit(42))), [label], [F.asc("_h"), F.asc(ident)], "_rank")
+    return placed.withColumn("pliegue", (F.col("_rank") - 1) % k).drop("_rank", "_h")
 
 
 def select_model(df: DataFrame, ident: str, text: str = "texto", label: str = "etiqueta", k: int = 5, models: dict | None = None, n_features: int = FEATURES) -> DataFrame:
     """(modelo, media, desviacion, pliegues): accuracy of each estimator over stratified folds, best mean first.
 
     The folds are no more than the smallest label has texts; fewer than two are
-    an error. Every fold is a filter of one cached table.
+    an error. Every fold is a filter of one written table.
     """
     smallest = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
     k = min(k, smallest)
     if k < 2:
         raise ValueError("every label needs two texts or more")
-    cut = folds(df, label, k, ident).persist()
+    cut = materialise(folds(df, label, k, ident), "folds")
     rows = []
     for name, estimator in (models or candidates()).items():
         for fold_number in range(k):
             model, labels = train(cut.where(F.col("pliegue") != fold_number), text, label, estimator, n_features)
             right = predict(model, labels, cut.where(F.col("pliegue") == fold_number), text).agg(F.avg((F.col("prediccion") == F.col(label)).cast("double"))).first()[0]
             rows.append((name, float(right or 0.0)))
-    cut.unpersist()
     scores = df.sparkSession.createDataFrame(rows, "modelo string, exactitud double")
     return scores.groupBy("modelo").agg(F.avg("exactitud").alias("media"), F.stddev_pop("exactitud").alias("desviacion"), F.count("*").alias("pliegues")).orderBy(F.desc("media"), "desviacion", "modelo")
 

@@ -40,8 +40,8 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of titles."""
-    return classify.clusters(news(spark, sf_dir).select("pos", "titulo"), "pos", "titulo", 12)
+    """Clusters of whole texts, title and body."""
+    return classify.clusters(news(spark, sf_dir).select("pos", F.concat_ws(" ", "titulo", "cuerpo").alias("texto")), "pos", "texto", 12)
 
 
 def alerts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,8 @@ def topic_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (classify_articles, classification_report, model_selection, subtopics, alerts_stream, windowed_stream, topic_memory_stream)}
 
-ORACLES = {"alerts_stream": f"WITH {_ALERTS} SELECT DISTINCT consulta, noticia_id FROM al"}
+ORACLES = {
+    "windowed_stream": """WITH w AS (SELECT time_bucket(INTERVAL '7 days', CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00') AS inicio, event_type, count(*) AS n, (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) AS last FROM events GROUP BY ALL)
+        SELECT strftime(inicio, '%Y-%m-%d %H:%M:%S') AS inicio, event_type, n FROM w WHERE inicio + INTERVAL '7 days' <= last - INTERVAL '1 day'""",
+    "alerts_stream": f"WITH {_ALERTS} SELECT DISTINCT consulta, noticia_id FROM al",
+}

@@ -51,8 +51,8 @@ def ir_generated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of sessions: the titles of each author's records, in order of arrival."""
-    author = F.coalesce(F.nullif(F.trim("autor"), F.lit("")), F.lit("@desconocido"))
+    """Questions of sessions: the titles of each author's records, in order of arrival; a record without an author is a session of its own."""
+    author = F.coalesce(F.nullif(F.trim("autor"), F.lit("")), F.concat(F.lit("@desconocido_"), F.col("pos").cast("string")))
     return news(spark, sf_dir).select(author.alias("sesion"), F.col("pos").alias("turno"), F.concat_ws(" ", F.when(F.col("pos") % 7 == 0, "dame mas sobre eso").when(F.col("pos") % 5 == 0, "¿cuántas noticias del tema?"), "titulo").alias("pregunta"))
 
 
@@ -139,7 +139,7 @@ def _intent_sql(column: str, rules: list[tuple[str, list[str]]]) -> str:
     return f"CASE {cases} ELSE 'busqueda' END"
 
 
-_ASKING = """qs AS (SELECT coalesce(nullif(trim(autor), ''), '@desconocido') AS sesion, pos AS turno, concat_ws(' ', CASE WHEN pos % 7 = 0 THEN 'dame mas sobre eso' WHEN pos % 5 = 0 THEN '¿cuántas noticias del tema?' END, titulo) AS pregunta FROM noticias),
+_ASKING = """qs AS (SELECT coalesce(nullif(trim(autor), ''), '@desconocido_' || pos) AS sesion, pos AS turno, concat_ws(' ', CASE WHEN pos % 7 = 0 THEN 'dame mas sobre eso' WHEN pos % 5 = 0 THEN '¿cuántas noticias del tema?' END, titulo) AS pregunta FROM noticias),
     fq AS (SELECT *, strip_accents(lower(coalesce(pregunta, ''))) AS p FROM qs)"""
 _BACK = rf"(list_has_any(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+'), {sql_list([w for w in lexicons.REFERENCES if ' ' not in w])}) OR " + " OR ".join(f"contains(p, '{w}')" for w in lexicons.REFERENCES if " " in w) + ")"
 _TOPICS = ", ".join(rf"CASE WHEN list_has_any(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+'), {sql_list(ws)}) THEN '{name}' END" for name, ws in lexicons.DIALOGUE_TOPICS)

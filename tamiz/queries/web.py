@@ -221,6 +221,12 @@ ORACLES = {
     "listing_evidence": f"""WITH {_CRAWLED} SELECT count(*) AS articulos, count(DISTINCT pagina) AS paginas, CASE WHEN count(*) >= 20 THEN 'completo' ELSE 'parcial' END AS estado FROM c""",
     "robots_gate": f"""WITH h AS (SELECT {SOURCE.replace('fuente', 'base_url')} AS host, pais FROM (SELECT base_url, base_url AS url, pais FROM fuentes)), n AS (SELECT pos, {HOST.format('url')} AS host, {_PATH} AS ruta FROM noticias)
         SELECT pos, coalesce(CASE WHEN pais = 'México' THEN NOT starts_with(ruta, '/cultura') WHEN pais <> 'Chile' THEN true ELSE false END, false) AS permitida FROM n LEFT JOIN h USING (host)""",
+    "crawl_frontier": f"""WITH seed AS (SELECT coalesce(min(pagina_origen), 'https://vacio.example') AS s FROM noticias_paginadas WHERE url IS NOT NULL),
+        l AS (SELECT DISTINCT url FROM noticias_paginadas, seed WHERE pagina_origen = s AND url <> s AND regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(s, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1))
+        SELECT s AS url, 0 AS nivel FROM seed UNION ALL SELECT url, 1 FROM (SELECT url FROM l ORDER BY url LIMIT 49)""",
+    "catalogue_custom": """WITH k AS (SELECT 'la_voz_de_puerto_nevzalira' AS s, 'La Voz de Puerto Nevzalira' AS nombre, 'https://otra.example' AS base_url UNION ALL SELECT 'nueva', 'Nueva', 'https://nueva.example'),
+        n AS (SELECT s, 1 + (SELECT count(*) FROM fuentes WHERE regexp_replace(id, '_[0-9]+$', '') = s) AS c, nombre, base_url FROM k)
+        SELECT id, nombre, base_url FROM fuentes UNION ALL SELECT CASE WHEN c > 1 THEN s || '_' || c ELSE s END, nombre, base_url FROM n""",
     "catalogue_validation": """WITH f AS (SELECT *, CASE WHEN pais <> 'Chile' THEN limite_noticias END AS lim FROM fuentes)
         SELECT id, array_to_string(list_filter([CASE WHEN coalesce(tipo, '') NOT IN ('rss', 'html') THEN 'tipo debe ser ''rss'' o ''html''' END, CASE WHEN coalesce(len(urls), 0) = 0 THEN 'urls debe ser una lista no vacia' WHEN len(list_filter(urls, lambda u: NOT regexp_matches(u, '^https?://'))) > 0 THEN 'todas las urls deben ser http(s)' END,
         CASE WHEN coalesce(len(dominios_permitidos), 0) = 0 THEN 'dominios_permitidos debe ser una lista no vacia' END, CASE WHEN coalesce(lim, 0) <= 0 THEN 'limite_noticias debe ser un entero positivo' END, CASE WHEN coalesce(delay_segundos, -1) < 0 THEN 'delay_segundos debe ser numerico y no negativo' END], lambda e: e IS NOT NULL), '; ') AS errores FROM f""",
