@@ -71,6 +71,24 @@ def report(judged: DataFrame) -> DataFrame:
     )
 
 
+def usable(judged: DataFrame) -> DataFrame:
+    """The valid records with ``estado`` ``completo``; where no record is valid, all of them with ``parcial``."""
+    valid = judged.where(F.size("motivos") == 0)
+    return judged.withColumn("estado", F.lit("parcial")) if valid.isEmpty() else valid.withColumn("estado", F.lit("completo"))
+
+
+def summary(reported: DataFrame) -> DataFrame:
+    """(resumen): one sentence on a report of :func:`report`."""
+    reasons = F.concat_ws(
+        "; ",
+        F.when(F.col("incompletos") > 0, F.concat(F.col("incompletos").cast("string"), F.lit(" incompletos o mal formados"))),
+        F.when(F.col("url_repetida") > 0, F.concat(F.col("url_repetida").cast("string"), F.lit(" con URL repetida"))),
+        F.when(F.col("titulo_repetido") > 0, F.concat(F.col("titulo_repetido").cast("string"), F.lit(" con título repetido"))),
+    )
+    kept = F.concat(F.lit("De "), F.col("total").cast("string"), F.lit(" registros quedan "), F.col("validos").cast("string"), F.lit(" válidos"))
+    return reported.select(F.concat(kept, F.when(F.col("rechazados") > 0, F.concat(F.lit("; se descartan "), F.col("rechazados").cast("string"), F.lit(": "), reasons)).otherwise(""), F.lit(".")).alias("resumen"))
+
+
 def first_by_key(df: DataFrame, key, order: str = "pos") -> DataFrame:
     """The first row of each key in ``order``; rows of an empty or null key all stay."""
     value = F.coalesce(key, F.lit(""))

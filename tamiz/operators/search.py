@@ -54,30 +54,43 @@ def boolean_search(docs: DataFrame, query: str, mode: str = "AND") -> DataFrame:
     return docs.where(held >= max(need, 1)).select("doc_id")
 
 
-def tfidf_terms(docs: DataFrame, text: Column, max_features: int | None = None, max_n: int = 2, sublinear: bool = False, stopwords: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def tfidf_terms(docs: DataFrame, text: Column, max_features: int | None = None, max_n: int = 2, sublinear: bool = False, stopwords: list[str] | None = None, only: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, term, w), (term, df, idf)): L2-normalised TF-IDF over 1..max_n-grams.
 
     idf = ln((1 + N) / (1 + df)) + 1; the vocabulary is the ``max_features``
     terms of greatest corpus count, ties by term. Documents without a term of
-    the vocabulary have no rows.
+    the vocabulary have no rows. The vocabulary is counted over all documents,
+    by term alone, so that every partition sends each of its terms once; a
+    limited one is written once and cuts the terms of documents before they are
+    shuffled. ``only`` restricts the weights, not the vocabulary, to the documents
+    for which it holds.
     """
     tokens = long_words(text)
     if stopwords:
         tokens = without(tokens, stopwords)
-    # The tokens are a column of their own: inside the lambdas of the n-grams they would be cut anew for every position.
+
+    # The tokens are a column of their own, right below the explosion of the n-grams: inside their lambdas they would be cut anew for every position.
     cut = docs.select("doc_id", tokens.alias("_tok"))
     grams = F.col("_tok")
     for n in range(2, max_n + 1):
         grams = F.concat(grams, ngrams(F.col("_tok"), n))
-    counted = cut.select("doc_id", F.explode(grams).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    total = docs.count()
-    vocabulary = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    once = cut.select(F.explode(F.array_distinct(grams)).alias("term"), F.lit(1).alias("_d"), F.lit(0).alias("_t"))
+    each = cut.select(F.explode(grams).alias("term"), F.lit(0).alias("_d"), F.lit(1).alias("_t"))
+    vocabulary = once.unionByName(each).groupBy("term").agg(F.sum("_d").alias("df"), F.sum("_t").alias("total"))
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
-    vocabulary = vocabulary.select("term", "df", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    small = F.broadcast(vocabulary) if max_features is not None and max_features <= 100_000 else vocabulary
+    total = docs.count()
+    vocabulary = materialise(vocabulary.select("term", "df", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "vocabulary")
+    small = broadcast_if_small(vocabulary)
+    chosen = cut if only is None else docs.where(only).select("doc_id", tokens.alias("_tok"))
+    terms = chosen.select("doc_id", F.explode(grams).alias("term"))
+    if max_features is not None:
+        # The idf rides along, so that the vocabulary is met once.
+        counted = terms.join(small, "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
+    else:
+        counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(small, "term")
     tf = (1.0 + F.log(F.col("tf").cast("double"))) if sublinear else F.col("tf").cast("double")
-    weighted = counted.join(small, "term").select("doc_id", "term", (tf * F.col("idf")).alias("raw"))
+    weighted = counted.select("doc_id", "term", (tf * F.col("idf")).alias("raw"))
     norms = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return weighted.join(norms, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("w")), vocabulary
 
@@ -112,7 +125,10 @@ def adjusted_score(query: str, title: Column, body: Column, cosine: Column) -> C
 
 def vector_search(docs: DataFrame, query: str, top_k: int | None = 5, max_features: int = 3000) -> DataFrame:
     """(doc_id, titulo, relevancia, score, snippet) of the best documents, ties by doc_id; only scores above 0."""
-    weights, vocabulary = tfidf_terms(docs, fold(document_text(docs)), max_features)
+    text = fold(document_text(docs))
+    asked = F.array(*[F.lit(t) for t in query_terms(query)] or [F.lit("")])
+    # Only documents with a word of the query have a cosine above 0.
+    weights, vocabulary = tfidf_terms(docs, text, max_features, only=F.arrays_overlap(long_words(text), asked))
     vector = query_vector(docs.sparkSession, query, vocabulary)
     cosines = weights.join(F.broadcast(vector), "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("relevancia"))
     joined = docs.join(cosines, "doc_id", "left").withColumn("relevancia", F.coalesce("relevancia", F.lit(0.0)))

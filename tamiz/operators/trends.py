@@ -75,6 +75,21 @@ def flat_table(counts: DataFrame, changes: DataFrame) -> DataFrame:
     return counts.join(wording, "categoria", "left").select("categoria", "periodo", "n", F.coalesce("aumentan", F.lit("")).alias("aumentan"), F.coalesce("disminuyen", F.lit("")).alias("disminuyen"))
 
 
+def findings(df: DataFrame, changes: DataFrame, category: str, period: str, order: str = "pos") -> DataFrame:
+    """One row: records, categories, periods, first and last period, the busiest category and period, categories whose wording changed, and ``estado``.
+
+    ``completo`` needs three categories and a title in the busiest period.
+    """
+    counts = period_counts(df, category, period)
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("registros"), F.countDistinct("categoria").alias("categorias"), F.countDistinct("periodo").alias("periodos"), F.min("periodo").alias("primero"), F.max("periodo").alias("ultimo"))
+    top = peak(df, category, period, order).select(F.col("categoria").alias("pico_categoria"), F.col("periodo").alias("pico_periodo"), F.col("n").alias("pico_n"))
+    held = df.join(F.broadcast(top), (F.col(category) == F.col("pico_categoria")) & (F.col(period) == F.col("pico_periodo"))).agg(F.count_if(F.length("titulo") > 0).alias("pico_titulos"))
+    changed = changes.agg(F.countDistinct("categoria").alias("con_cambios"))
+    # Each of the four is one row.
+    row = whole.join(top, F.lit(True), "left").crossJoin(held).crossJoin(changed)
+    return row.withColumn("estado", F.when((F.col("categorias") >= 3) & (F.col("pico_titulos") > 0), "completo").otherwise("parcial"))
+
+
 def bars(counts: DataFrame, width: int = 35) -> DataFrame:
     """Add ``barra``: marks in proportion to the greatest count."""
     most = counts.agg(F.max("n").alias("_max"))

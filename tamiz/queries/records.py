@@ -32,6 +32,15 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(quality.validated(_columns(spark, sf_dir)))
 
 
+def quality_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that later stages work on."""
+    return quality.usable(quality.validated(_columns(spark, sf_dir))).select("pos", "estado")
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(quality.report(quality.validated(_columns(spark, sf_dir))))
+
+
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables of articles as one, the first record of each URL kept."""
     pages = read_table(spark, sf_dir, "noticias_paginadas").select((F.col("fila") + 1_000_000_000).alias("pos"), "titulo", "url", "resumen")
@@ -79,6 +88,11 @@ def trend_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.flat_table(trend_counts_month(spark, sf_dir), _changes(spark, sf_dir))
 
 
+def trend_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the months of the corpus show, in one row."""
+    return trends.findings(_dated(spark, sf_dir), _changes(spark, sf_dir), "categoria", "mes")
+
+
 def trend_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.bars(trend_counts_month(spark, sf_dir))
 
@@ -178,7 +192,7 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_motives, quality_validated, quality_report, source_union, source_limits, trend_counts_month, trend_counts_week, trend_peak, trend_term_changes, trend_table, trend_bars, event_counts_month,
+        quality_motives, quality_validated, quality_report, quality_stage, quality_summary, trend_findings, source_union, source_limits, trend_counts_month, trend_counts_week, trend_peak, trend_term_changes, trend_table, trend_bars, event_counts_month,
         sentiment_documents, sentiment_corpus, sentiment_by_category, thread_moving_avg, thread_summary, hashtag_counts, active_users, window_topics,
         alerts_match, alerts_replayed, alert_counts, category_share, extraction_summary, url_join, label_agreement,
     )
@@ -226,6 +240,16 @@ ORACLES = {
         count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Campo%' OR m LIKE 'Longitud%' OR m LIKE 'Formato%')) > 0) AS incompletos,
         count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Registro duplicado exacto%')) > 0) AS url_repetida,
         count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Registro duplicado por%')) > 0) AS titulo_repetido FROM val""",
+    "quality_stage": f"WITH {_VALIDATED}, whole AS (SELECT count(*) FILTER (len(motivos) = 0) AS v FROM val) SELECT pos, CASE WHEN v > 0 THEN 'completo' ELSE 'parcial' END AS estado FROM val, whole WHERE v = 0 OR len(motivos) = 0",
+    "quality_summary": f"""WITH {_VALIDATED}, r AS (SELECT count(*) AS total, count(*) FILTER (len(motivos) = 0) AS validos, count(*) FILTER (len(motivos) > 0) AS rechazados,
+        count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Campo%' OR m LIKE 'Longitud%' OR m LIKE 'Formato%')) > 0) AS incompletos,
+        count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Registro duplicado exacto%')) > 0) AS u, count(*) FILTER (len(list_filter(motivos, lambda m: m LIKE 'Registro duplicado por%')) > 0) AS t FROM val)
+        SELECT 'De ' || total || ' registros quedan ' || validos || ' válidos' || CASE WHEN rechazados > 0 THEN '; se descartan ' || rechazados || ': ' || concat_ws('; ', CASE WHEN incompletos > 0 THEN incompletos || ' incompletos o mal formados' END,
+            CASE WHEN u > 0 THEN u || ' con URL repetida' END, CASE WHEN t > 0 THEN t || ' con título repetido' END) ELSE '' END || '.' AS resumen FROM r""",
+    "trend_findings": f"""WITH {_DATED}, {_CHANGES}, c AS (SELECT categoria, mes AS periodo, count(*) AS n FROM fec GROUP BY 1, 2), f AS (SELECT categoria, min(pos) AS p FROM fec GROUP BY 1),
+        pk AS (SELECT categoria AS pico_categoria, periodo AS pico_periodo, n AS pico_n FROM c JOIN f USING (categoria) ORDER BY n DESC, p, periodo LIMIT 1), w AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS registros, count(DISTINCT categoria) AS categorias, count(DISTINCT periodo) AS periodos, min(periodo) AS primero, max(periodo) AS ultimo FROM c),
+        t AS (SELECT count(*) FILTER (length(titulo) > 0) AS pico_titulos FROM fec JOIN pk ON categoria = pico_categoria AND mes = pico_periodo), g AS (SELECT count(DISTINCT categoria) AS con_cambios FROM top)
+        SELECT w.*, pk.*, pico_titulos, con_cambios, CASE WHEN categorias >= 3 AND pico_titulos > 0 THEN 'completo' ELSE 'parcial' END AS estado FROM w LEFT JOIN pk ON true, t, g""",
     "source_union": """WITH a AS (SELECT pos, titulo, url FROM noticias UNION ALL SELECT fila + 1000000000, titulo, url FROM noticias_paginadas),
         k AS (SELECT *, coalesce(lower(trim(coalesce(CASE WHEN trim(url) <> '' THEN url END, CASE WHEN trim(titulo) <> '' THEN titulo END))), '') AS k FROM a)
         SELECT pos, titulo, url FROM k QUALIFY k = '' OR row_number() OVER (PARTITION BY k ORDER BY pos) = 1""",
