@@ -28,6 +28,13 @@ def test_articles(spark):
     assert (profile.titulo, profile.articulos_main, profile.navegacion, profile.pie) == ("Portal", 2, ["Inicio"], "Pie")
 
 
+def test_batches_of_errors_alone(spark):
+    lacking = PAGE.replace("<h2> Uno  &amp; dos </h2>", "")
+    df = spark.createDataFrame([(lacking, "https://a.example/s/")], "html string, url string").coalesce(1)
+    rows = html.extract_articles(df, "html", "url").collect()
+    assert [(r.pagina, r.orden, r.titulo, r.url, r.error) for r in rows] == [("https://a.example/s/", None, None, None, f"Artículo {i}: falta {part}") for i, part in ((1, "titulo"), (2, "url"))]
+
+
 def test_crawl(spark):
     def page(n, last=False):
         items = "".join(f"<li class=i><h3>T{n}{k}</h3><a href='/n/{n}{k}'>x</a></li>" for k in range(3))
