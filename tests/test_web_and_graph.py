@@ -35,6 +35,12 @@ def test_batches_of_errors_alone(spark):
     assert [(r.pagina, r.orden, r.titulo, r.url, r.error) for r in rows] == [("https://a.example/s/", None, None, None, f"Artículo {i}: falta {part}") for i, part in ((1, "titulo"), (2, "url"))]
 
 
+def test_batches_of_articles_alone(spark):
+    df = spark.createDataFrame([(PAGE.replace("<article class=\"noticia\"><h2>Sin enlace", "<article><h2>Sin enlace"), "https://a.example/s/")], "html string, url string").coalesce(1)
+    rows = html.extract_articles(df, "html", "url").where("error IS NULL").collect()
+    assert [(r.pagina, r.orden, r.titulo, r.url, r.error) for r in rows] == [("https://a.example/s/", 1, "Uno & dos", "https://a.example/n/1", None)]
+
+
 def test_crawl(spark):
     def page(n, last=False):
         items = "".join(f"<li class=i><h3>T{n}{k}</h3><a href='/n/{n}{k}'>x</a></li>" for k in range(3))
