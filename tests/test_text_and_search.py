@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,20 @@ def test_question_pairs_hold_the_content(spark, tmp_path):
     got = {(r.doc_id, r.tipo): (r.contexto, r.respuesta) for r in retrieval.question_pairs(spark, str(tmp_path)).collect()}
     assert set(got) == {(i, tipo) for i in (1, 2) for tipo in ("contenido", "categoria", "sentimiento")}
     assert got[1, "contenido"] == ("Uno Uno\nDos.", "Uno. Uno\nDos.") and got[2, "contenido"] == (" ", ". ")
+
+
+def test_similar_documents_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tamiz.operators.search.BLOCK", 16)
+    monkeypatch.setattr("tamiz.operators.search.STRIP", 5)
+    r = random.Random(5)
+    held = {d: {f"t{t}": r.choice([0.2, 0.5, 0.7]) for t in r.sample(range(12), 4)} for d in range(60)} | {90: {"solo": 1.0}, 91: {"a": 0.6, "t1": 0.8}}
+    weights = spark.createDataFrame([(d, t, w) for d, x in held.items() for t, w in x.items()], "doc_id long, term string, w double")
+    queries = spark.createDataFrame([(d,) for d in (*range(0, 60, 3), 90, 91, 99, None)], "doc_id long")
+    found = search.similar_documents(weights, queries, 3)
+    expected = set()
+    for i in {*range(0, 60, 3), 90, 91}:
+        cos = [(round(sum(w * held[j][t] for t, w in held[i].items() if t in held[j]), 9), j) for j in held if j != i]
+        expected |= {(i, j, k, c) for k, (c, j) in enumerate(sorted([x for x in cos if x[0] > 0], reverse=True)[:3], 1)}
+    assert {(x.i, x.j, x.rango, round(x.coseno, 9)) for x in found.collect()} == expected
+    # Pairs are never rows that are shuffled to be added up: only the best of each block leave their task.
+    assert "HashAggregate(keys=[i" not in found._jdf.queryExecution().toString()
