@@ -7,8 +7,8 @@ whichever paragraph it was opened, an ellipsis mark of a teaser, or an end that
 is no end of a sentence speaks for a cut. Three things settle the open ends:
 
 * a *boundary model*: how often the last words of the text end a sentence or a
-  line where they occur elsewhere. It is fitted on a bounded, documented sample
-  (``SAMPLE_TEXTS`` texts), in which every inner boundary is a labelled case;
+  line where they occur elsewhere. It is fitted on all texts, in which every
+  inner boundary is a labelled case;
 * *refrains*: a closing sentence with rhetorical dots is told from a teaser by its
   being repeated; counted over all texts;
 * the *baseline of the source*: lengths at which more of its texts break off than
@@ -26,16 +26,17 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.page_content import furniture_flags, is_furniture_wording
 from tamiz.session import materialise
 
-#: Texts the boundary model is fitted on (a bounded sample; everything else covers all texts).
-SAMPLE_TEXTS = 8_000
 #: Contexts of the model: up to so many tokens, kept if seen so often.
 CONTEXT, SEEN = 4, 3
 #: Tokens of a sentence's skeleton, and how many of the most frequent words belong to it.
@@ -114,60 +115,142 @@ def open_structures(text: str) -> list[str]:
     return stack
 
 
-def _classes(tokens: list[str], common: frozenset[str]) -> list[str]:
-    """Tokens with numbers and rare names made alike."""
-    return ["9" if t[0].isdigit() else t if not t[0].isupper() or t in common else "N" for t in tokens]
+def _taught(text: str) -> list[str]:
+    """Tokens of a text up to its last plain end: what follows may have been cut and teaches nothing."""
+    found = _UP_TO_END.match(_DOTS.sub("", text.replace("\r", "")))
+    return _TOKEN.findall(found[0]) if found else []
+
+
+def _word_counts(texts: list[list[str]]) -> Counter:
+    """How many texts (of tokens) hold each capitalised word, and how often each small one occurs."""
+    words = Counter(t for x in texts for t in set(x) if t[0].isupper())
+    words.update(t for x in texts for t in x if t[0].islower())
+    return words
+
+
+_MASK, _FACTOR, _CONTEXT_SEED, _FRAME_SEED = (1 << 64) - 1, 0x9E3779B97F4A7C15, 1, 2
+
+
+def _roll(key: int, code: int) -> int:
+    """The number of a sequence of kinds, one kind longer; :func:`_rolled` for arrays."""
+    key = (key * _FACTOR + code) & _MASK
+    return key ^ key >> 29
+
+
+def _rolled(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    keys = keys * np.uint64(_FACTOR) + codes
+    return keys ^ keys >> np.uint64(29)
+
+
+class Wording:
+    """Kinds of tokens: numbers and rare names made alike. A sentence's frame is its function words and marks."""
+
+    def __init__(self, common: frozenset[str], function_words: frozenset[str]):
+        self.common, self.function_words = common, function_words
+
+    def kind(self, token: str) -> str:
+        return "9" if token[0].isdigit() else token if not token[0].isupper() or token in self.common else "N"
+
+    def in_frame(self, kind: str) -> bool:
+        return kind in self.function_words or not kind[0].isalnum()
+
+    def keys(self, tokens: list[str]) -> tuple[list[int], int, int]:
+        """(numbers of the last 1, 2, .. ``CONTEXT`` tokens, number and length of the skeleton) at the end of ``tokens``."""
+        kinds = [self.kind(t) for t in tokens[-CONTEXT:]]
+        contexts, key = [], _CONTEXT_SEED
+        for kind in reversed(kinds):
+            contexts.append(key := _roll(key, xxhash.xxh3_64_intdigest(kind)))
+        start = max((i for i, t in enumerate(tokens) if t in _ENDS), default=-1) + 1
+        frame = [kind for t in tokens[start:] if self.in_frame(kind := self.kind(t))][-SKELETON:]
+        return contexts, reduce(_roll, map(xxhash.xxh3_64_intdigest, frame), _FRAME_SEED), len(frame)
+
+    def boundaries(self, texts: list[list[str]], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """(keys, how often seen, how often at an end, places, ends) of all inner places of texts of tokens; only of ``wanted`` keys, which are sorted, if given."""
+        texts = [x for x in texts if len(x) > 1]
+        empty = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0, 0
+        if not texts:
+            return empty
+        sizes = np.array([len(x) for x in texts])
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(t, len(number)) for x in texts for t in x), dtype=np.int64, count=int(sizes.sum()))
+        kinds = [self.kind(t) for t in number]
+        code = np.array([xxhash.xxh3_64_intdigest(k) for k in kinds], dtype=np.uint64)[at]
+        is_end, is_closer, framed = (np.array([f(k) for k in kinds])[at] for f in (_ENDS.__contains__, _CLOSERS.__contains__, self.in_frame))
+        framed &= ~is_end
+        place = np.arange(len(at))
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = np.repeat(np.cumsum(sizes) - 1, sizes)
+        # The next token that closes nothing, at most the last one of the text.
+        onward = np.minimum.accumulate(np.where(~is_closer | (place == last), place, len(at))[::-1])[::-1]
+        asked = np.flatnonzero((place < last) & ~is_end)
+        if not len(asked):
+            return empty
+        end = is_end[onward[asked + 1]]
+        keys, ends = [], []
+        key = np.full(len(asked), _CONTEXT_SEED, dtype=np.uint64)
+        for k in range(CONTEXT):
+            inside = asked - k >= first[asked]
+            key = _rolled(key, code[np.maximum(asked - k, 0)])
+            keys.append(key[inside])
+            ends.append(end[inside])
+        count = np.cumsum(framed)
+        # Frame tokens before the sentence of a place: those up to the last end, or before the text.
+        begun = np.maximum(np.maximum.accumulate(np.where(is_end, place, -1)), first - 1)
+        before = np.concatenate([[0], count])[begun + 1]
+        frames = code[np.flatnonzero(framed)] if framed.any() else np.zeros(1, dtype=np.uint64)
+        key = np.full(len(asked), _FRAME_SEED, dtype=np.uint64)
+        for k in range(SKELETON, 0, -1):
+            back = count[asked] - k
+            key = np.where(back >= before[asked], _rolled(key, frames[np.maximum(back, 0)]), key)
+        keys, ends = np.concatenate([*keys, key]), np.concatenate([*ends, end])
+        if wanted is not None:
+            held = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), dtype=bool)
+            keys, ends = keys[held], ends[held]
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        n = len(distinct)
+        return distinct, np.bincount(inverse, minlength=n), np.bincount(inverse[ends], minlength=n), len(asked), int(end.sum())
+
+
+def _wording(words: Counter, texts: int) -> Wording:
+    common = frozenset(t for t, n in words.items() if t[0].isupper() and n >= max(5, texts // 200))
+    small = sorted((x for x in words.items() if x[0][0].islower()), key=lambda x: (-x[1], x[0]))
+    return Wording(common, frozenset(t for t, _ in small[:FUNCTION_WORDS]))
 
 
 class BoundaryModel:
-    """Probability that a text ends where its last words stand, from inner boundaries of sample texts.
+    """Probability that a text ends where its last words stand, from the inner boundaries of texts.
 
     Two views of each boundary, taken as independent: the last ``CONTEXT``
     tokens, and the *skeleton* of the sentence so far, its last function words
-    and marks, which tells a clause that must go on from one that may end.
+    and marks, which tells a clause that must go on from one that may end. The
+    counts are held by the 64-bit numbers of these sequences; :func:`fitted`
+    counts over tables and holds what is asked.
     """
 
     def __init__(self, texts: list[str]):
-        # What follows the last plain end of a text may have been cut: it teaches nothing.
-        whole = [x.replace("\r", "") for x in texts]
-        tokenised = [_TOKEN.findall(m[0]) for x in whole if (m := _UP_TO_END.match(_DOTS.sub("", x)))]
-        words = Counter(t for x in tokenised for t in set(x) if t[0].isupper())
-        self.common = frozenset(t for t, n in words.items() if n >= max(5, len(texts) // 200))
-        self.names = frozenset(words)
-        lower = Counter(t for x in tokenised for t in x if t[0].islower())
-        self.function_words = frozenset(t for t, _ in lower.most_common(FUNCTION_WORDS))
-        seen: Counter = Counter()
-        ended: Counter = Counter()
-        total = ends = 0
-        for tokens in tokenised:
-            kinds = _classes(tokens, self.common)
-            n = len(kinds)
-            frame: list[str] = []
-            for i in range(n - 1):
-                kind = kinds[i]
-                if kind in _ENDS:
-                    frame = []
-                    continue
-                if self._in_frame(kind):
-                    frame.append(kind)
-                j = i + 1
-                while j < n - 1 and kinds[j] in _CLOSERS:
-                    j += 1
-                end = kinds[j] in _ENDS
-                total, ends = total + 1, ends + end
-                keys = ["|" + " ".join(frame[-SKELETON:])]
-                key = ""
-                for k in range(i, max(-1, i - CONTEXT), -1):
-                    key = kinds[k] + " " + key
-                    keys.append(key)
-                seen.update(keys)
-                if end:
-                    ended.update(keys)
+        taught = [_taught(x) for x in texts]
+        words = _word_counts(taught)
+        self.wording = _wording(words, len(texts))
+        self.names = frozenset(t for t in words if t[0].isupper())
+        self._hold(*self.wording.boundaries(taught))
+
+    @classmethod
+    def of(cls, wording: Wording, names: frozenset[str], *counts) -> BoundaryModel:
+        model = cls.__new__(cls)
+        model.wording, model.names = wording, names
+        model._hold(*counts)
+        return model
+
+    def _hold(self, keys: np.ndarray, seen: np.ndarray, ended: np.ndarray, total: int, ends: int) -> None:
+        self.keys, self.seen, self.ended = keys, seen, ended
         self.base = max(ends, 1) / max(total, 2)
-        self.share = {key: (n, ended[key] / n) for key, n in seen.items() if n >= SEEN or key.count(" ") == 1}
 
-    def _in_frame(self, kind: str) -> bool:
-        return kind in self.function_words or not kind[0].isalnum()
+    def _share(self, key: int, least: int) -> tuple[int, float] | None:
+        """(how often seen, share of ends) of a key that was seen ``least`` times."""
+        i = int(np.searchsorted(self.keys, np.uint64(key)))
+        if i == len(self.keys) or int(self.keys[i]) != key or self.seen[i] < least:
+            return None
+        return int(self.seen[i]), float(self.ended[i] / self.seen[i])
 
     def end_share(self, tail: str) -> float:
         """How probably ``tail``, the line so far, ends a sentence or line; 0 for a broken word."""
@@ -177,27 +260,89 @@ class BoundaryModel:
         last = tokens[-1]
         if last[0].isupper() and last not in self.names or len(last) == 1 and last.isalpha() and last not in "aeoyuAEOYU":
             return 0.0
-        kinds = _classes(tokens, self.common)
-        share, key = 0.0, ""
-        for k in range(len(kinds) - 1, max(-1, len(kinds) - 1 - CONTEXT), -1):
-            key = kinds[k] + " " + key
-            found = self.share.get(key)
+        contexts, skeleton, length = self.wording.keys(tokens)
+        share = 0.0
+        for k, key in enumerate(contexts):
+            found = self._share(key, 1 if k == 0 else SEEN)
             if found is None:
                 break
             n, ends = found
             # Longer contexts outweigh shorter ones as far as they were seen.
-            share = ends if k == len(kinds) - 1 else (n * ends + PRIOR * share) / (n + PRIOR)
+            share = ends if k == 0 else (n * ends + PRIOR * share) / (n + PRIOR)
         if not 0 < share < 1:
             return share
-        start = max((i for i, kind in enumerate(kinds) if kind in _ENDS), default=-1) + 1
-        frame = [kind for kind in kinds[start:] if self._in_frame(kind)]
-        n, ends = self.share.get("|" + " ".join(frame[-SKELETON:]), (0, 0.0))
+        n, ends = self._share(skeleton, 1 if length == 2 else SEEN) or (0, 0.0)
         prior = self.base / (1 - self.base)
         whole = (n * ends + PRIOR * self.base) / (n + PRIOR)
         odds = share / (1 - share) * min(1e3, whole / max(1e-9, 1 - whole)) / prior
         return odds / (1 + odds)
 
 
+class _Recorder:
+    """Stands for a model and keeps the tails it is asked about."""
+
+    def __init__(self) -> None:
+        self.tails: set[str] = set()
+
+    def end_share(self, tail: str) -> float:
+        self.tails.add(tail)
+        return 0.5
+
+
+def fitted(asking: DataFrame, teaching: DataFrame) -> BoundaryModel:
+    """The model of the boundaries of all texts of ``teaching`` (text), as far as the ends of ``asking`` (text) need it.
+
+    Three passes of partial counts a batch that are added up: words, the ends that
+    the model is asked about, and their contexts. No text leaves its task; the
+    driver gets the words that are common, the sums of the contexts asked about and
+    the names that end a text.
+    """
+
+    def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            words = _word_counts([_taught(x) for x in frame["text"]])
+            # As objects: Arrow does not take the floats of an empty frame for text.
+            yield pd.DataFrame([(t, t[0].isupper(), n) for t, n in words.items()], columns=["word", "capital", "n"], dtype=object)
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            recorder = _Recorder()
+            for x in frame["text"]:
+                examine(x, recorder)
+            yield pd.DataFrame([(x, (_TOKEN.findall(x) or [""])[-1]) for x in recorder.tails], columns=["tail", "word"], dtype=object)
+
+    def key_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys: set[int] = set()
+            for tail in frame["tail"]:
+                contexts, skeleton, _ = wording.keys(_TOKEN.findall(tail))
+                keys.update(contexts, [skeleton])
+            yield pd.DataFrame({"k": np.array(list(keys), dtype=np.uint64).view(np.int64)})
+
+    def count_boundaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys, seen, ended, total, ends = wording.boundaries([_taught(x) for x in frame["text"]], holder.value)
+            # The sums of all places ride along without a key.
+            yield pd.DataFrame({"k": pd.array([*keys.view(np.int64), None], dtype="Int64"), "n": [*seen, total], "e": [*ended, ends]})
+
+    spark = teaching.sparkSession
+    teaching = teaching.where(F.length("text") > 0).select("text")
+    words = materialise(teaching.mapInPandas(count_words, "word string, capital boolean, n long").groupBy("word", "capital").agg(F.sum("n").alias("n")), "words")
+    n = teaching.count()
+    kept = words.where(F.col("capital") & (F.col("n") >= max(5, n // 200))).unionByName(words.where(~F.col("capital")).orderBy(F.desc("n"), "word").limit(FUNCTION_WORDS))
+    wording = _wording(Counter({r["word"]: r["n"] for r in kept.collect()}), n)
+    tails = materialise(asking.where(F.length("text") > 0).select("text").mapInPandas(ask, "tail string, word string").distinct(), "tails")
+    wanted = tails.mapInPandas(key_of, "k long").distinct().toArrow().column("k").to_numpy()
+    holder = spark.sparkContext.broadcast(np.sort(wanted.view(np.uint64)))
+    sums = teaching.mapInPandas(count_boundaries, "k long, n long, e long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("e").alias("e")).toArrow()
+    names = frozenset(r["word"] for r in words.where("capital").join(tails.select("word").distinct(), "word", "left_semi").select("word").collect())
+    k, seen, ended = (sums.column(c) for c in ("k", "n", "e"))
+    held = np.array(k.is_valid())
+    keys, seen, ended = np.array(k.fill_null(0)).astype(np.int64).view(np.uint64), np.array(seen), np.array(ended)
+    order = np.flatnonzero(held)[np.argsort(keys[held])]
+    return BoundaryModel.of(wording, names, keys[order], seen[order], ended[order], int(seen[~held].sum()), int(ended[~held].sum()))
+
+
 def examine(text: str | None, model: BoundaryModel) -> tuple[str, float, str | None]:
     """(``finished`` / ``cut`` / ``open`` / ``dots``, share of ends, closing sentence of a dotted text)."""
     if text is None or not text.strip():
@@ -271,16 +416,19 @@ def source_limits(broken: DataFrame) -> DataFrame:
     return told.where((F.col("k") >= LIMIT_TEXTS) & (F.col("k") > F.col("_mean")) & (unlikely >= least)).select("tabla", "src", "n_chars")
 
 
-def cut_texts(df: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``df`` (tabla, id, src, text) as (tabla, id, src, cortado) with each text's verdict."""
+def cut_texts(df: DataFrame, sample_texts: int | None = None) -> DataFrame:
+    """``df`` (tabla, id, src, text) as (tabla, id, src, cortado) with each text's verdict.
+
+    The boundary model is fitted on all texts, or on ``sample_texts`` of them where
+    a number is given.
+    """
     df = df.where("id IS NOT NULL")
     n = df.count()
-    filled = df.where(F.length("text") > 0)
-    # A sample by hash of the text: the least hashes, so that it is the same at every run and in any order.
-    share = min(1.0, 2.0 * sample_texts / max(n, 1))
-    drawn = filled.select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("_h")).where(F.col("_h") < int(share * 1_000_003) + 1)
-    sample = [r[0] for r in drawn.orderBy("_h", "text").limit(sample_texts).collect()]
-    model = BoundaryModel(sample)
+    teaching = df
+    if sample_texts is not None:
+        # By hash of the text: the least hashes, so that it is the same at every run and in any order.
+        teaching = df.where(F.length("text") > 0).orderBy(F.pmod(F.xxhash64("text"), F.lit(1_000_003)), "text").limit(sample_texts)
+    model = fitted(df, teaching)
     scored = materialise(score_texts(df, model), "scored")
 
     refrains = scored.where("estado = 'dots'").groupBy("frase").agg(F.count("*").alias("k"))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tamiz.llm.truncation import BoundaryModel, cut_texts, examine, open_structures, share_by_source, source_limits
+from tamiz.llm.truncation import BoundaryModel, cut_texts, examine, fitted, open_structures, share_by_source, source_limits
 
 NOUNS = ["la cosecha", "el río", "la escuela", "el puerto", "la fábrica", "el museo"]
 VERBS = ["cerró", "abrió", "perdió", "ganó", "mostró"]
@@ -62,6 +62,24 @@ def test_sample_is_the_same_in_any_order(spark):
     assert verdicts[0] == verdicts[1]
 
 
+def test_model_counts_all_texts(spark):
+    # More texts than the sample of 8,000 that was once drawn, over several batches and partitions.
+    many = texts(9000, 6) + ["Brisa (corta). La brisa cerró en la plaza", None, "", "Uno\n»”.\n"]
+    asking = spark.createDataFrame([(x[: len(x) - 1 - i % 9],) for i, x in enumerate(many[:300])] + [(many[9000],)], "text string")
+    one, all_ = BoundaryModel([x for x in many if x]), fitted(asking, spark.createDataFrame([(x,) for x in many], "text string").repartition(5))
+    assert (one.base, one.wording.common, one.wording.function_words) == (all_.base, all_.wording.common, all_.wording.function_words)
+    assert [examine(r.text, one) for r in asking.collect()] == [examine(r.text, all_) for r in asking.collect()]
+
+
+def test_rare_ends_of_the_whole_count(spark):
+    # One text teaches each of forty ends; a sample of 8,000 of the texts misses most of them.
+    words = [f"zumb{chr(97 + i // 8)}{chr(97 + i % 8)}ó" for i in range(40)]
+    rows = [("t", i, "s", x) for i, x in enumerate(texts(30_000, 8))] + [("t", 50_000 + i, "s", f"Vista así. La escuela {w}. Nadie más salió.") for i, w in enumerate(words)]
+    rows += [("t", 60_000 + i, "s", f"Vista así. La escuela {w}") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "tabla string, id long, src string, text string")
+    assert cut_texts(df).where("cortado AND id >= 60000").count() == 0
+
+
 def test_frame(spark):
     whole = texts(120)
     rows = [("t", i, "s" if i % 3 else None, x) for i, x in enumerate(whole)]
