@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from tamiz.llm.page_content import furniture_flags, is_furniture_wording
 from tamiz.session import materialise
 
+#: Texts whose places are looked at together (memory only; all are counted).
+CHUNK = 2_000
 #: Contexts of the model: up to so many tokens, kept if seen so often.
 CONTEXT, SEEN = 4, 3
 #: Tokens of a sentence's skeleton, and how many of the most frequent words belong to it.
@@ -121,10 +123,12 @@ def _taught(text: str) -> list[str]:
     return _TOKEN.findall(found[0]) if found else []
 
 
-def _word_counts(texts: list[list[str]]) -> Counter:
+def _word_counts(texts: Iterable[list[str]]) -> Counter:
     """How many texts (of tokens) hold each capitalised word, and how often each small one occurs."""
-    words = Counter(t for x in texts for t in set(x) if t[0].isupper())
-    words.update(t for x in texts for t in x if t[0].islower())
+    words: Counter = Counter()
+    for x in texts:
+        words.update([t for t in set(x) if t[0].isupper()])
+        words.update([t for t in x if t[0].islower()])
     return words
 
 
@@ -142,6 +146,18 @@ def _rolled(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return keys ^ keys >> np.uint64(29)
 
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the keys that are in ``wanted``, which is sorted; a table of low bits spares most searches."""
+    if not len(wanted):
+        return np.zeros(0, dtype=np.int64)
+    bits = np.uint64((1 << 22) - 1)
+    table = np.zeros(1 << 22, dtype=bool)
+    table[wanted & bits] = True
+    likely = np.flatnonzero(table[keys & bits])
+    found = keys[likely]
+    return likely[wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found]
+
+
 class Wording:
     """Kinds of tokens: numbers and rare names made alike. A sentence's frame is its function words and marks."""
 
@@ -188,11 +204,17 @@ class Wording:
         end = is_end[onward[asked + 1]]
         keys, ends = [], []
         key = np.full(len(asked), _CONTEXT_SEED, dtype=np.uint64)
+        live = np.arange(len(asked))
         for k in range(CONTEXT):
-            inside = asked - k >= first[asked]
-            key = _rolled(key, code[np.maximum(asked - k, 0)])
-            keys.append(key[inside])
-            ends.append(end[inside])
+            inside = asked[live] - k >= first[asked[live]]
+            live = live[inside]
+            key = _rolled(key[inside], code[asked[live] - k])
+            if wanted is not None:
+                # Where a context is asked about the shorter ones are too: places without these are done.
+                held = _among(key, wanted)
+                live, key = live[held], key[held]
+            keys.append(key)
+            ends.append(end[live])
         count = np.cumsum(framed)
         # Frame tokens before the sentence of a place: those up to the last end, or before the text.
         begun = np.maximum(np.maximum.accumulate(np.where(is_end, place, -1)), first - 1)
@@ -202,10 +224,8 @@ class Wording:
         for k in range(SKELETON, 0, -1):
             back = count[asked] - k
             key = np.where(back >= before[asked], _rolled(key, frames[np.maximum(back, 0)]), key)
-        keys, ends = np.concatenate([*keys, key]), np.concatenate([*ends, end])
-        if wanted is not None:
-            held = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), dtype=bool)
-            keys, ends = keys[held], ends[held]
+        held = slice(None) if wanted is None else _among(key, wanted)
+        keys, ends = np.concatenate([*keys, key[held]]), np.concatenate([*ends, end[held]])
         distinct, inverse = np.unique(keys, return_inverse=True)
         n = len(distinct)
         return distinct, np.bincount(inverse, minlength=n), np.bincount(inverse[ends], minlength=n), len(asked), int(end.sum())
@@ -300,7 +320,7 @@ def fitted(asking: DataFrame, teaching: DataFrame) -> BoundaryModel:
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            words = _word_counts([_taught(x) for x in frame["text"]])
+            words = _word_counts(_taught(x) for x in frame["text"])
             # As objects: Arrow does not take the floats of an empty frame for text.
             yield pd.DataFrame([(t, t[0].isupper(), n) for t, n in words.items()], columns=["word", "capital", "n"], dtype=object)
 
@@ -321,9 +341,11 @@ def fitted(asking: DataFrame, teaching: DataFrame) -> BoundaryModel:
 
     def count_boundaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, seen, ended, total, ends = wording.boundaries([_taught(x) for x in frame["text"]], holder.value)
-            # The sums of all places ride along without a key.
-            yield pd.DataFrame({"k": pd.array([*keys.view(np.int64), None], dtype="Int64"), "n": [*seen, total], "e": [*ended, ends]})
+            texts = frame["text"].tolist()
+            for i in range(0, len(texts), CHUNK):
+                keys, seen, ended, total, ends = wording.boundaries([_taught(x) for x in texts[i : i + CHUNK]], holder.value)
+                # The sums of all places ride along without a key.
+                yield pd.DataFrame({"k": pd.array([*keys.view(np.int64), None], dtype="Int64"), "n": [*seen, total], "e": [*ended, ends]})
 
     spark = teaching.sparkSession
     teaching = teaching.where(F.length("text") > 0).select("text")
