@@ -41,6 +41,16 @@ def test_batches_of_articles_alone(spark):
     assert [(r.pagina, r.orden, r.titulo, r.url, r.error) for r in rows] == [("https://a.example/s/", 1, "Uno & dos", "https://a.example/n/1", None)]
 
 
+def test_odd_markup_and_links_end_no_batch(spark):
+    odd = PAGE.replace("Texto", "Texto <![x[ y> <![ z>")
+    unread = PAGE.replace("../n/1", "http://[1/n")
+    df = spark.createDataFrame([(odd, "https://a.example/s/"), (unread, "https://b.example/"), (PAGE, "http://[1/")], "html string, url string").coalesce(1)
+    rows = html.extract_articles(df, "html", "url").collect()
+    assert [(r.pagina, r.titulo, r.url) for r in rows if r.error is None] == [("https://a.example/s/", "Uno & dos", "https://a.example/n/1")]
+    assert [(r.pagina, r.error) for r in rows if r.error] == [("https://a.example/s/", "Artículo 2: falta url")] + [(u, f"Artículo {i}: falta url") for u in ("https://b.example/", "http://[1/") for i in (1, 2)]
+    assert html.parse("a<![CDATA[b]]>c<![if x]>d").text() == "a c d" and html.parse("a<![ b").text().startswith("a")
+
+
 def test_crawl(spark):
     def page(n, last=False):
         items = "".join(f"<li class=i><h3>T{n}{k}</h3><a href='/n/{n}{k}'>x</a></li>" for k in range(3))
