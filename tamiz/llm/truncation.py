@@ -59,6 +59,8 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|\n|\.\.\.|[^\w\s]")
 _ENDS = frozenset([".", "?", "!", "\n"])
 _CLOSERS = frozenset(["»", "”", '"', "'", ")", "]"])
 _MARK = re.compile(r"(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…|más|sigue)\s*\)|(?:\.\.\.|…)?\s*(?:leer más|seguir leyendo|ver más|continuar leyendo|read more|leia mais|\[\+\]))\W*$", re.IGNORECASE)
+#: Characters of the longest wording of a mark.
+LONGEST_MARK = len("continuar leyendo")
 _ESCAPE = re.compile(r"(?:&[a-zA-Z]{0,9}|&#\d{0,6}|&#x[0-9a-fA-F]{0,5}|\\u[0-9a-fA-F]{0,3}|\\|(?<=[A-Za-z/])%[0-9A-F]?)$|�+$")
 #: Characters of the longest unfinished escape and what must stand before it: the pattern is bound to the end and can't begin earlier.
 LONGEST_ESCAPE = 16
@@ -117,19 +119,36 @@ def open_structures(text: str) -> list[str]:
     return stack
 
 
+def has_mark(line: str) -> bool:
+    """Whether a line ends in the mark of a teaser; only its end is read.
+
+    A mark without letters begins after the last word, one in brackets no further
+    before it than the white space and the bracket, any other is a wording that ends
+    with it.
+    """
+    end = len(line)
+    while end and not (line[end - 1].isalnum() or line[end - 1] == "_"):
+        end -= 1
+    word = end
+    while word and (line[word - 1].isalnum() or line[word - 1] == "_"):
+        word -= 1
+    return bool(_MARK.search(line, max(0, min(end - LONGEST_MARK, len(line[:word].rstrip()) - 1))))
+
+
 def _taught(text: str) -> list[str]:
     """Tokens of a text up to its last plain end: what follows may have been cut and teaches nothing."""
-    found = _UP_TO_END.match(_DOTS.sub("", text.replace("\r", "")))
+    text = text.replace("\r", "")
+    found = _UP_TO_END.match(_DOTS.sub("", text) if ".." in text or "…" in text else text)
     return _TOKEN.findall(found[0]) if found else []
 
 
 def _word_counts(texts: Iterable[list[str]]) -> Counter:
     """How many texts (of tokens) hold each capitalised word, and how often each small one occurs."""
-    words: Counter = Counter()
+    held, all_ = Counter(), Counter()
     for x in texts:
-        words.update([t for t in set(x) if t[0].isupper()])
-        words.update([t for t in x if t[0].islower()])
-    return words
+        held.update(set(x))
+        all_.update(x)
+    return Counter({t: n if t[0].isupper() else all_[t] for t, n in held.items() if t[0].isupper() or t[0].islower()})
 
 
 _MASK, _FACTOR, _CONTEXT_SEED, _FRAME_SEED = (1 << 64) - 1, 0x9E3779B97F4A7C15, 1, 2
@@ -371,12 +390,13 @@ def examine(text: str | None, model: BoundaryModel) -> tuple[str, float, str | N
         return "finished", 1.0, None
     body = text.rstrip()
     line = body[body.rfind("\n") + 1 :].strip()
-    if _MARK.search(line):
+    if has_mark(line):
         return "cut", 0.0, None
     structures = open_structures(body)
     if "escape" in structures or "tag" in structures or body[-1] in "([{«“¿¡":
         return "cut", 0.0, None
-    dots = _ELLIPSIS.search(line)
+    # The line is stripped: dots at its end are its last characters.
+    dots = line[-1] in ".…" and _ELLIPSIS.search(line)
     if dots:
         starts = list(_SENTENCE_START.finditer(line[: dots.start()]))
         return "dots", 0.0, line[starts[-1].end() if starts else 0 : dots.start()].strip()

@@ -1,7 +1,9 @@
 import random
+import time
 
 import pytest
 
+from tamiz.llm import truncation
 from tamiz.llm.truncation import BoundaryModel, cut_texts, examine, fitted, open_structures, share_by_source, source_limits
 
 NOUNS = ["la cosecha", "el río", "la escuela", "el puerto", "la fábrica", "el museo"]
@@ -47,6 +49,16 @@ def test_marks():
     assert examine(None, model)[0] == examine(" \n ", model)[0] == "finished"
 
 
+def test_ends_alone_are_read_for_marks():
+    r, parts = random.Random(7), ["[", "]", "(", ")", "...", "…", " ", " " * 30, "más", "MÁS", "sigue", "Leer más", "continuar leyendo", "[+]", "a", "_", "»", "!", "\xa0"]
+    lines = ["".join(r.choice(parts) for _ in range(r.randint(1, 8))).strip() for _ in range(20_000)]
+    assert [truncation.has_mark(x) for x in lines] == [bool(truncation._MARK.search(x)) for x in lines]
+    # The white space inside a line was gone over once for every place in it.
+    began = time.process_time()
+    assert examine("La escuela" + " " * 40_000 + "cerró en la plaza mayor de la villa", BoundaryModel(texts(20)))[0] == "open"
+    assert time.process_time() - began < 1
+
+
 def test_structures_of_earlier_lines_decide():
     model = BoundaryModel(texts(200))
     line = "La escuela abrió el museo en la plaza mayor"
